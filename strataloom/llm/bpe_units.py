@@ -81,11 +81,12 @@ class UnitEncoder:
     def section(self, text: str) -> list:
         if not text:
             return []
-        if _DOUBLE.search(text) or text[0] == " " or text[-1] == " ":
+        if _DOUBLE.search(text) or text[-1] == " ":
             return list(map(self.plain.__getitem__, UNITS.findall(text)))
         # single blanks alone between parts; a part with other white space inside is a unit for the pattern below it
         first, *rest = text.split(" ")
-        return [self.plain[first], *map(self.spaced.__getitem__, rest)]
+        out = list(map(self.spaced.__getitem__, rest))
+        return [self.plain[first], *out] if first else out
 
 
 def library_ids(tokenizer):
@@ -108,7 +109,7 @@ class IdsEncoder(UnitEncoder):
     it would cut each of them, and whose ids are handed back to the words by the tokens' lengths in bytes.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 300_000):
         self.tokenizer = load_tokenizer(path)
         ids = added_tokens(self.tokenizer)
         super().__init__(self.unit_ids, {s: np.array([i], "<u4").tobytes() for s, i in ids.items()}, most)

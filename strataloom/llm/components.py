@@ -30,7 +30,7 @@ def connected_components(ws: Workspace, links: DataFrame, left: str, right: str,
     empty one.
     """
     edges = ws.keep(
-        links.select(F.greatest(left, right).cast("long").alias("a"), F.least(left, right).cast("long").alias("b")).filter(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col("a") <> F.col("b"))).distinct(),
+        links.select(F.greatest(left, right).cast("long").alias("a"), F.least(left, right).cast("long").alias("b")).filter(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right))).distinct(),
         f"{name}-0",
     )
     before, k = None, 0
