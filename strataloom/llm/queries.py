@@ -10,6 +10,7 @@ from .packing import op3_packing
 from .segment_topk import ORACLE as TOPK_SQL
 from .segment_topk import op5_exact_topk
 from .subword_quality import op9_quality
+from .tiered_shards import op7_sharding
 from .toxicity import op6_toxicity
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_exact_topk": op5_exact_topk,
     "op6_toxicity": op6_toxicity,
+    "op7_sharding": op7_sharding,
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
