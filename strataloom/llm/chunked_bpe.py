@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .arrays import text_slices
-from .bpe_units import WHITE, IdsEncoder, Memo, worker_encoder
-from .heap_counts import byte_letters
+from .bpe_units import WHITE, IdsEncoder, Memo, byte_letters, worker_encoder
 from .workspace import extended
 
 WINDOW, LEAST, MEAN_BITS, MOST = 32, 256, 10, 8192
@@ -73,7 +72,7 @@ class ChunkCodec:
         self.chunks = Memo(lambda key: self.inner(self.missing.pop(key)), most_chunks)
         self.missing: dict[bytes, str] = {}
         self.reused = self.encoded = 0
-        size = len(self.units.byte_length)
+        size = self.units.size
         letters = {c: b for b, c in enumerate(byte_letters())}
         self.bytes_of = [b""] * size
         for token, i in self.units.tokenizer.get_vocab(with_added_tokens=True).items():
@@ -140,7 +139,6 @@ def encode_documents(docs: DataFrame, vocabulary: str, with_ids: bool = True) ->
         for batch in batches:
             made: dict[str, list] = {c: [] for c in kind}
             for _, texts in text_slices(batch.column("text")):
-                codec.units.prepare(texts)
                 for text in texts:
                     ids = np.frombuffer(codec.encode(text), "<u4")
                     decoded = codec.decode(ids)

@@ -15,18 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import ship
-from .bpe_units import PLAIN_UNIT, Memo, UnitEncoder, worker_encoder
+from .bpe_units import PATTERN, PLAIN_UNIT, WHITE, Memo, UnitEncoder, byte_letters, worker_encoder
 from .workspace import extended
 
 
-def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte in byte-level vocabularies."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-    return [letters[b] for b in range(256)]
-
-
 class HeapCounter:
     """Counts the tokens of a byte-level BPE vocabulary file of the tokenizers library."""
 
@@ -48,7 +40,8 @@ class HeapCounter:
             self.ranks.setdefault(number[a] << 32 | number[b], rank)
         self.known = Memo(self.count_word, 200_000)
         self.added = {t["content"]: 1 for t in spec["added_tokens"]}
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+".replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        # \s as the library has it, not as Python does
+        self.words = regex.compile(PATTERN.replace(r"\S", f"[^{WHITE}]").replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]"))
 
     def count_word(self, word: str) -> int:
         """Initial symbols minus merges of one pre-token. A heap entry is rank * n + place, so ties go to the left."""
@@ -85,7 +78,10 @@ class HeapCounter:
     def count_unit(self, unit: str) -> int:
         plain = PLAIN_UNIT.match(unit)
         if plain:
-            return self.known[plain[1]] + (self.known[plain[2]] if plain[2] else 0)
+            word, marks, line, more = plain.groups()
+            known = self.known
+            count = known[word] + (known[marks] if marks else 0)
+            return count + (1 + known[line[1:]] if line else 0) + (known[more] if more else 0)
         return sum(map(self.known.__getitem__, self.words.findall(unit)))
 
     def encoder(self) -> UnitEncoder:

@@ -44,7 +44,6 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int) -> DataFra
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for first, texts in text_slices(batch.column("text")):
-                encoder.prepare(texts)
                 for k, text in enumerate(texts):
                     ids = memoryview(encoder.encode(text) + end)
                     for p, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
