@@ -6,6 +6,7 @@ from .chunked_bpe import op4_bpe_round_trip
 from .embedding_dedup import op1_embedding_dedup
 from .heap_counts import op8_token_counts
 from .language_filter import op10_language_id
+from .order_minhash import op2_near_duplicates
 from .packing import op3_packing
 from .segment_topk import ORACLE as TOPK_SQL
 from .segment_topk import op5_exact_topk
@@ -15,6 +16,7 @@ from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_packing": op3_packing,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_exact_topk": op5_exact_topk,
