@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .noise import CONTROL, is_noise
+from .noise import CONTROL, RESERVED, is_noise
 
 _SKIP = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
 _RUST_SKIP = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'", re.S)
@@ -59,9 +59,9 @@ class Code:
         self.out["nodes"].append((node or kind, name, parent, b(start), b(end), first, last))
 
     def calls(self, pattern: str = r"([A-Za-z_$][\w$]*)\s*\(") -> None:
-        heads = {m for m in self.heads}
+        heads = self.heads
         for m in re.finditer(pattern, self.code):
-            if m.start(1) in heads or m[1] in CONTROL or is_noise(m[1], self.language):
+            if m.start(1) in heads or m[1] in CONTROL or m[1] in RESERVED.get(self.language, ()) or is_noise(m[1], self.language):
                 continue
             self.out["calls"].append((m[1], self.line(m.start(1))))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import builtins
-import keyword
 
 _PYTHON = {n for n in dir(builtins) if n[0].islower()} | set(
     "add append clear close copy decode encode endswith extend flush get insert items join keys lstrip pop quit read remove replace rstrip seek split startswith strip update values write exit".split()
@@ -15,7 +14,9 @@ _RUST = set(
     "vec unwrap trim to_string to_owned starts_with split replace remove push println print pop panic ok map len iter_mut iter is_some is_ok is_none is_err into_iter into insert get from format filter expect err eprintln eprint ends_with debug_assert contains collect clone assert_ne assert_eq assert as_str as_bytes".split()
 )
 NOISE: dict[str, frozenset[str]] = {"python": frozenset(_PYTHON), "javascript": frozenset(_SCRIPT), "typescript": frozenset(_SCRIPT), "rust": frozenset(_RUST)}
-CONTROL = frozenset(keyword.kwlist) | frozenset("if for while switch catch return function match loop fn func new throw typeof await super this else do try sizeof defer go select synchronized assert".split())
+CONTROL = frozenset("if for while switch catch return function match loop fn func new throw typeof await super this else do try sizeof synchronized assert elif in not and or with lambda yield".split())
+#: Words that one language keeps for itself and others may call.
+RESERVED = {"go": frozenset("go defer select range chan map make".split())}
 
 
 def is_noise(name: str, language: str) -> bool:

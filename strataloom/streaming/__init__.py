@@ -1 +1 @@
-
+"""Streams: incremental indexing of arriving files, and sessions over event streams."""
