@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,13 +15,24 @@ from .arrays import list_matrix, run_starts, sorted_runs
 from .components import connected_components
 from .workspace import Workspace
 
-#: Two vectors at cosine 0.98 differ in one sign with probability acos(0.98)/pi = 0.0638, so they share one table of 16
-#: signs with probability 0.348 and none of 28 with 6e-6.
-TABLES, SIGNS = 28, 16
+#: The probability that a pair at the threshold shares no table.
+MISS = 6e-6
 #: Rows of a bucket that are compared at once; a larger bucket is split in blocks of about so many and block pairs.
 BLOCK = 2048
 
 
+def plan_tables(rows: int, least: float, miss: float = MISS) -> tuple[int, int]:
+    """(tables, signs) for the most rows that one label has.
+
+    Signs grow with the logarithm of the rows, so that unrelated vectors rarely meet at any size. Two vectors at
+    cosine c differ in a sign with probability acos(c) / pi; there are as many tables as it takes for such a pair to
+    share none with probability `miss`: 28 of 16 signs at 0.98 and up to 8,192 rows, 39 of 20 at 131,072.
+    """
+    signs = min(48, max(16, math.ceil(math.log2(max(rows, 1))) + 3))
+    share = (1 - math.acos(min(least, 1.0)) / math.pi) ** signs
+    return (max(1, math.ceil(math.log(miss) / math.log(1 - share))) if share < 1 else 1), signs
+
+
 def hyperplanes(width: int, tables: int, signs: int, seed: int = 20) -> np.ndarray:
     """Fixed random directions, the same in every task."""
     return np.random.default_rng((seed, width)).standard_normal((width, tables * signs))
@@ -99,7 +111,7 @@ def bucket_links(unit: np.ndarray, sig: np.ndarray, table: int, side: np.ndarray
     return links, np.array([find(x) for x in range(n)], np.int64)
 
 
-def near_duplicates(rows: DataFrame, least: float = 0.98, tables: int = TABLES, signs: int = SIGNS, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
+def near_duplicates(rows: DataFrame, least: float = 0.98, tables: int | None = None, signs: int | None = None, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of `rows`.
 
     Only vectors of equal, non-null label are compared; null, zero and non-finite vectors link with nothing and stand
@@ -112,6 +124,9 @@ def near_duplicates(rows: DataFrame, least: float = 0.98, tables: int = TABLES,
     ws = Workspace(spark, "embedding-dedup")
     everyone = rows.select(F.col(id_column).cast("long").alias("id"))
     base = rows.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("int").alias("label"), F.col(vector_column).alias("v")).filter("id is not null and label is not null and v is not null")
+    if tables is None or signs is None:
+        most = base.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        tables, signs = plan_tables(most, least)
     signed = ws.keep(signatures(base, tables, signs).dropDuplicates(["id"]), "signed")
     keys = signed.select("id", "label", "width", F.posexplode("sig").alias("t", "key"))
     sizes = keys.groupBy("label", "width", "t", "key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))

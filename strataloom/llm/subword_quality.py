@@ -69,8 +69,8 @@ class SubwordClassifier:
     bias: float
 
     @classmethod
-    def fit(cls, texts: list[str], y: list[int], orders: tuple[int, ...] = (3, 4), buckets: int = 1 << 18, width: int = 8, epochs: int = 8, rate: float = 0.5, seed: int = 7) -> SubwordClassifier:
-        """Stochastic gradient descent, a text at a time, over vectors of the features' mean; the rate falls linearly to 0."""
+    def fit(cls, texts: list[str], y: list[int], orders: tuple[int, ...] = (3, 4), buckets: int = 1 << 18, width: int = 8, epochs: int = 8, least_steps: int = 8000, rate: float = 0.5, seed: int = 7) -> SubwordClassifier:
+        """Stochastic gradient descent, a text at a time, over vectors of the features' mean; the rate falls linearly to 0. Few texts get more epochs, for `least_steps` in all."""
         if len(set(y)) < 2:
             share = float(np.mean(y)) if y else 0.5
             return cls(orders, buckets, np.zeros(buckets, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
@@ -81,6 +81,7 @@ class SubwordClassifier:
         for text in texts:
             slots, counts = np.unique(features([text], orders, buckets)[0], return_counts=True)
             bags.append((slots, (counts / max(counts.sum(), 1)).astype(np.float32)))
+        epochs = max(epochs, -(-least_steps // len(texts)))
         steps, done = epochs * len(texts), 0
         for _ in range(epochs):
             for k in rng.permutation(len(texts)):
