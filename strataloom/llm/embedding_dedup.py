@@ -16,7 +16,7 @@ from .components import connected_components
 from .workspace import Workspace
 
 #: The probability that a pair at the threshold shares no table.
-MISS = 6e-6
+MISS = 7e-6
 #: Rows of a bucket that are compared at once; a larger bucket is split in blocks of about so many and block pairs.
 BLOCK = 2048
 
