@@ -8,6 +8,7 @@ import sys
 
 from .api import Engine, NotFound
 from .operators.search import SearchQuery
+from .service import serve
 from .session import local_session
 
 
@@ -27,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     find.add_argument("--min-score", type=float, default=0.0)
     find.add_argument("--rerank", action="store_true")
     sub.add_parser("stats")
+    sub.add_parser("serve")
     graph = sub.add_parser("graph").add_subparsers(dest="graph_command", required=True)
     build = graph.add_parser("index")
     build.add_argument("root")
@@ -50,6 +52,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             show(engine.search(SearchQuery(a.query, a.top_k, a.language, (), a.path_prefix, a.min_score), a.rerank).drop("embedding"))
         elif a.command == "stats":
             show(engine.vectors.stats())
+        elif a.command == "serve":
+            serve(engine).serve_forever()
         elif a.graph_command == "index":
             print(json.dumps(engine.index_graph(a.root, a.clear)))
         elif a.graph_command in ("callers", "callees"):
