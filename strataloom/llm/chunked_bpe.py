@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
 from .arrays import text_slices
@@ -132,7 +133,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, with_ids: bool = True) ->
     kind = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32()), "decoded": pa.string()} if with_ids else {})
     kept = [c for c in docs.columns if c not in kind]
     base = docs.select(*kept)
-    sql = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>", "decoded": "string"}
+    sql = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": T.ArrayType(T.IntegerType()), "decoded": "string"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_encoder(("chunks", vocabulary), lambda: ChunkCodec(vocabulary))

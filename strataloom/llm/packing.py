@@ -1,9 +1,9 @@
 """Best-fit packing of documents into sequences, with certified lower bounds.
 
 Pieces are packed by best-fit decreasing within partitions. Dual-feasible functions give a lower bound on each
-partition's bins; a partition that meets its bound is done. Partitions with a gap give up their bins that are not
-full, exchange those pieces, and run best-fit decreasing again, until the bound of all pieces is met or a round wins
-nothing.
+partition's bins; a partition that meets its bound keeps all but its emptiest bin. Partitions with a gap give up all
+bins that are not full. Partitions exchange these pieces and run best-fit decreasing again, until one holds all that
+is left.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -99,12 +99,12 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def pack_partitions(pieces: DataFrame, partitions: int, capacity: int, salt: int) -> DataFrame:
-    """pieces (doc_id, piece, length) with part, bin, used (of its bin), bins and bound (of its partition).
+    """pieces (uid, length) with part, bin, used (of its bin), bins and bound (of its partition), spare (its emptiest bin).
 
-    The partition is a hash of the piece, so that no document or length is hot. Equal rows are packed as different pieces.
+    The partition is a hash of the piece's number, so that no document or length is hot.
     """
-    keyed = pieces.select("doc_id", "piece", "length", F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(partitions)).cast("int").alias("part"))
-    schema = extended(keyed, ("bin", "long"), ("used", "long"), ("bins", "long"), ("bound", "long"))
+    keyed = pieces.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(salt)), F.lit(partitions)).cast("int").alias("part"))
+    schema = extended(keyed, ("bin", "long"), ("used", "long"), ("bins", "long"), ("bound", "long"), ("spare", "boolean"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_runs(batches, ["part"]):
@@ -116,52 +116,45 @@ def pack_partitions(pieces: DataFrame, partitions: int, capacity: int, salt: int
                 bins, made = best_fit_decreasing(lengths, capacity)
                 used = np.bincount(bins, weights=lengths, minlength=made).astype(np.int64)
                 bound = dual_feasible_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-                out = rows.append_column("bin", pa.array(bins)).append_column("used", pa.array(used[bins])).append_column("bins", pa.array(np.full(b - a, made))).append_column("bound", pa.array(np.full(b - a, bound)))
+                out = rows.append_column("bin", pa.array(bins)).append_column("used", pa.array(used[bins])).append_column("bins", pa.array(np.full(b - a, made))).append_column("bound", pa.array(np.full(b - a, bound))).append_column("spare", pa.array(bins == used.argmin()))
                 yield from out.combine_chunks().to_batches()
 
-    return keyed.repartition(partitions, "part").sortWithinPartitions("part", "doc_id", "piece", "length").mapInArrow(run, schema)
+    return keyed.repartition(partitions, "part").sortWithinPartitions("part", "uid").mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, pieces_per_partition: int = 250_000, most_rounds: int = 6) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, pieces_per_partition: int = 250_000, most_rounds: int = 10) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every token of docs once, in few sequences of at most `capacity`.
 
     Only lengths are shuffled. Each round packs partitions of about `pieces_per_partition` pieces, so a task's memory
-    is bounded by that; bins that are full, and all bins of partitions that meet their lower bound, are final. What is
-    left is exchanged over fewer partitions, as it is less each round. Repeated doc_ids are different documents with
-    equal rows; they get places of their own. An empty table gives an empty result. Extra columns of docs are ignored.
+    is bounded by that. Final are bins that are full and, of partitions that meet their lower bound, all bins but the
+    emptiest, which holds what the bound rounds up. What is
+    left is exchanged over half the partitions or fewer. Rows that repeat a doc_id, or have none, are
+    documents of their own with places of their own. An empty table gives an empty result. Extra columns are ignored.
     """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "packing")
-    pieces = ws.keep(tokenized_pieces(docs, vocabulary, capacity), "pieces")
-    # equal (doc_id, piece) rows are told apart by a number, so that the places join back one to one
-    open_pieces, final, before = pieces.select("doc_id", "piece", "length"), None, None
+    ws = Workspace(docs.sparkSession, "packing")
+    # each piece gets a number when it is written, by which its place finds it again
+    pieces = ws.keep(tokenized_pieces(docs, vocabulary, capacity).withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    open_pieces, final, partitions = pieces.select("uid", "length"), None, 1
     for k in range(most_rounds):
         n = open_pieces.count()
         if not n:
             break
-        # the first rounds run in parallel; once the rest fits one partition's bound, it is packed together
-        partitions = max(1, -(-n // pieces_per_partition))
+        # half the partitions or fewer each round: what is left meets ever more of what other partitions left, in tasks
+        # of 16 times the pieces at most
+        partitions = max(1, min(-(-n // pieces_per_partition), max(partitions // 2, -(-n // (16 * pieces_per_partition)))) if k else -(-n // pieces_per_partition))
         packed = ws.keep(pack_partitions(open_pieces, partitions, capacity, k), f"packed-{k}")
-        totals = packed.groupBy("part").agg(F.max("bins").alias("bins"), F.max("bound").alias("bound")).agg(F.sum("bins"), F.sum("bound")).first()
-        last = totals[0] <= totals[1] or partitions == 1 or k + 1 == most_rounds or (before is not None and totals[0] >= before)
-        done = F.lit(True) if last else (F.col("bins") <= F.col("bound")) | (F.col("used") == capacity)
-        closed = packed.filter(done).select("doc_id", "piece", "length", (F.lit(k << 56) + F.col("part").cast("long") * (1 << 32) + F.col("bin")).alias("sequence_id"))
+        last = partitions == 1 or k + 1 == most_rounds
+        done = F.lit(True) if last else ((F.col("bins") <= F.col("bound")) & ~F.col("spare")) | (F.col("used") == capacity)
+        closed = packed.filter(done).select("uid", "length", (F.lit(k << 56) + F.col("part").cast("long") * (1 << 32) + F.col("bin")).alias("sequence_id"))
         final = closed if final is None else final.union(closed)
         if last:
             break
-        before = totals[0] - packed.filter(done).select("part", "bin").distinct().count()
-        open_pieces = packed.filter(~done).select("doc_id", "piece", "length")
+        open_pieces = packed.filter(~done).select("uid", "length")
     if final is None:
-        return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).select("doc_id", *PIECE_COLUMNS, "sequence_id", "offset")
-    from pyspark.sql import Window
-
-    inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "piece", "copy")
-    number = lambda df: df.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "piece").orderBy("length")))
-    placed = number(final).withColumn("offset", F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-    placed = placed.select("doc_id", "piece", "copy", "length", "sequence_id", F.coalesce("offset", F.lit(0)).cast("long").alias("offset"))
-    if pieces.filter("doc_id is null").limit(1).count():
-        raise ValueError("doc_id must not be null")
-    return number(pieces).join(placed, ["doc_id", "piece", "copy", "length"]).select("doc_id", *PIECE_COLUMNS, "sequence_id", "offset")
+        return pieces.select("doc_id", *PIECE_COLUMNS, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "uid").rowsBetween(Window.unboundedPreceding, -1)
+    placed = final.select("uid", "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"))
+    return pieces.join(placed, "uid").select("doc_id", *PIECE_COLUMNS, "sequence_id", "offset")
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:

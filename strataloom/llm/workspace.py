@@ -50,7 +50,7 @@ class Workspace:
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def extended(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:
+def extended(df: DataFrame, *fields: tuple[str, str | T.DataType]) -> T.StructType:
     """The schema of df with further fields; df.schema itself is cached and must stay as it is."""
     schema = T.StructType(list(df.schema.fields))
     for name, kind in fields:

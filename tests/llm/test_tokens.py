@@ -74,7 +74,7 @@ def test_pieces_and_bounds():
 
 @pytest.mark.parametrize("per_partition", [250_000, 20])
 def test_packing(spark, vocabulary, library, sentence, per_partition):
-    rows = [(i, t) for i, t in enumerate(EDGES)] + [(1000 + k, sentence("en", 5 + 11 * k % 900, k)) for k in range(60)] + [(3, "again")]
+    rows = [(i, t) for i, t in enumerate(EDGES)] + [(1000 + k, sentence("en", 5 + 11 * k % 900, k)) for k in range(60)] + [(3, "again"), (3, "again"), (None, "no id"), (None, "no id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = pack_documents(docs, vocabulary, 2048, per_partition).collect()
     wanted = {}
