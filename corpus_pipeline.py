@@ -35,10 +35,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one of the least doc_id."""
+    """One document of each class of near-duplicates: the one of the least doc_id.
+
+    Rows that repeat a doc_id are one document and stay together; rows without one cannot be told apart and all stay.
+    """
     # the ids are as many as the documents: never broadcast, and hashed rather than sorted along with the texts
     kept = near_duplicate_classes(docs).filter("kept").select("doc_id").hint("shuffle_hash")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    found = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return found.unionByName(docs.filter("doc_id is null"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
