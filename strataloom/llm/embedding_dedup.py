@@ -118,7 +118,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.98, tables: int | None = N
     alone. Every vector goes to one bucket a table; buckets of one are dropped before vectors are joined in. A bucket
     above BLOCK rows is split by a hash into blocks, and each pair of blocks is a task of its own, so no task holds
     more than two blocks. A task gives a row's count of links and one edge to its component, never pairs. Ids are
-    meant to be unique; a repeated id counts as one vector (one of its rows). Empty tables give empty results.
+    meant to be unique; a repeated id counts as one vector (one of its rows), and a null id stands alone. Empty tables give empty results.
     """
     spark = rows.sparkSession
     ws = Workspace(spark, "embedding-dedup")
@@ -166,7 +166,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.98, tables: int | None = N
     counted = found.groupBy("id").agg(F.sum("links").alias("n_links"))
     labels = connected_components(ws, found, "id", "root")
     out = everyone.join(counted, "id", "left").join(labels, "id", "left")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"), (F.coalesce("component", "id") == F.col("id")).alias("kept"))
+    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def op1_embedding_dedup(spark, sf_dir: str) -> DataFrame:
