@@ -106,7 +106,7 @@ class Engine:
             raise NotFound(name_or_id)
         return hit[0]["id"]
 
-    def find_symbols(self, name: str | None = None, kind: str | None = None, file_path: str | None = None, decorator: str | None = None) -> DataFrame:
+    def find_symbols(self, name: str | None = None, file_path: str | None = None, decorator: str | None = None, kind: str | None = None) -> DataFrame:
         found = self.graph.read("symbols")
         if name is not None:
             found = found.filter(F.col("name") == name)

@@ -7,7 +7,7 @@ import re
 
 from .noise import is_noise
 
-_WRAPPERS = {"Optional", "List", "Dict", "Set", "Tuple", "Union", "ClassVar", "Final", "list", "dict", "set", "tuple"}
+_WRAPPERS = frozenset("ClassVar Dict Final List Optional Set Tuple Union dict list set tuple".split())
 
 
 def type_name(node: ast.expr | None) -> str | None:

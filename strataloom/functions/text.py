@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 STOP_WORDS = tuple(sorted("all an and any as at be by can do for from get has in is new not of on or per set the to via vs with".split()))
 
 
+_LOW, _UP = "[a-z0-9]", "[A-Z]"
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def split_identifier(name: Column | str) -> Column:
     """Lower-case words of two letters and more from camel, Pascal, snake and screaming case."""
-    parted = F.regexp_replace(_col(name), "([a-z0-9])([A-Z])", "$1 $2")
-    parted = F.regexp_replace(parted, "([A-Z]+)([A-Z][a-z])", "$1 $2")
+    parted = F.regexp_replace(_col(name), f"({_LOW})({_UP})", "$1 $2")
+    parted = F.regexp_replace(parted, f"({_UP}+)({_UP}[a-z])", "$1 $2")
     return F.transform(F.filter(F.split(parted, "[^a-zA-Z0-9]+"), lambda t: F.length(t) >= 2), F.lower)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..lineage import settle
 
 
-def katz(nodes: DataFrame, edges: DataFrame, alpha: float = 0.1, beta: float = 1.0, most: int = 100, tolerance: float = 1e-6) -> DataFrame:
+def katz(nodes: DataFrame, edges: DataFrame, most: int = 100, tolerance: float = 1e-6, beta: float = 1.0, alpha: float = 0.1) -> DataFrame:
     """(id, raw, katz, converged): beta plus alpha times the sum over incoming edges, parallel edges counted, scaled to 0..1.
 
     Stops once the summed change is below tolerance times the nodes, or after `most` rounds, with `converged` false.

@@ -11,13 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+Vectors = list[list[float]]
+
+
 class HashingEmbedder:
     """Signed feature hashing of a text's lower-case words, at length 1. The same text gives the same vector everywhere."""
 
     def __init__(self, dimensions: int = 256):
         self.dimensions, self.model = dimensions, f"hashing-{dimensions}"
 
-    def embed_texts(self, texts: list[str]) -> list[list[float]]:
+    def embed_texts(self, texts: list[str]) -> Vectors:
         out = np.zeros((len(texts), self.dimensions))
         for row, t in zip(out, texts):
             for word in re.findall(r"[a-z0-9]{2,}", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", t).lower()):

@@ -19,6 +19,10 @@ def _line(label: str, items: Column, field: str | None, most: int | None = None)
     return F.when(F.size(items) > 0, F.concat(F.lit(label + ": "), _listed(items, field, most)))
 
 
+def _style(name: str, fill: str, stroke: str, color: str) -> Column:
+    return F.lit(f"    classDef {name} fill:#{fill},stroke:#{stroke},color:#{color}")
+
+
 def context_text() -> Column:
     """A symbol context row as labelled lines; empty parts have no line."""
     return F.concat_ws(
@@ -72,7 +76,7 @@ def impact_mermaid(direct: str = "direct_callers", transitive: str = "transitive
         _nodes(F.col(direct), "dc", 12, "-->|calls|", True, "target"),
         _nodes(F.col(transitive), "tc", 12, "-.->|transitive|", True, "target", F.col(direct)),
         _nodes(F.col(subclasses), "sub", 6, "-->|inherits|", True, "target"),
-        F.array(F.lit("    classDef changed fill:#f96,stroke:#c33,color:#000")),
+        F.array(_style("changed", "f96", "c33", "000")),
     )
     return F.array_join(lines, "\n")
 
@@ -87,7 +91,7 @@ def concern_block(name="name", description="description", symbols="symbols") ->
 def concern_mermaid(name="name", symbols="symbols") -> Column:
     each = F.transform(F.slice(_col(symbols), 1, 10), lambda s, i: F.concat(F.lit("    _sym_"), i.cast("string"), F.lit('["'), label(s), F.lit('"]\n    _title --- _sym_'), i.cast("string")))
     head = F.array(F.lit("flowchart TD"), F.concat(F.lit('    _title["'), F.replace(_col(name), F.lit('"'), F.lit("'")), F.lit('"]:::concern')))
-    return F.array_join(F.concat(head, each, F.array(F.lit("    classDef concern fill:#4a9,stroke:#063,color:#fff"))), "\n")
+    return F.array_join(F.concat(head, each, F.array(_style("concern", "4a9", "063", "fff"))), "\n")
 
 
 def term_prompt(usages: int = 5) -> Column:

@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EXTENSIONS = {
-    "python": (".py", "/__init__.py", ".pyi"),
-    "javascript": (".js", ".jsx", ".ts", ".tsx", "/index.js", "/index.ts", "/index.jsx", "/index.tsx"),
-    "rust": (".rs", "/mod.rs"),
-    "java": (".java",),
+    language: tuple(endings.split())
+    for language, endings in {"python": ".py /__init__.py .pyi", "javascript": ".js .jsx .ts .tsx /index.js /index.ts /index.jsx /index.tsx", "rust": ".rs /mod.rs", "java": ".java"}.items()
 }
 EXTENSIONS["typescript"] = EXTENSIONS["javascript"]
 

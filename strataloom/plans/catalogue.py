@@ -453,7 +453,7 @@ def ignore_glob(spark, d):
 # identifiers and terms
 
 def _split_sql(x: str) -> str:
-    return f"[lower(t) FOR t IN string_split_regex(regexp_replace(regexp_replace({x}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[^a-zA-Z0-9]+') IF len(t) >= 2]"
+    return f"[lower(t) FOR t IN string_split_regex(regexp_replace(regexp_replace({x}, '({text._LOW})({text._UP})', '\\1 \\2', 'g'), '({text._UP}+)({text._UP}[a-z])', '\\1 \\2', 'g'), '[^a-zA-Z0-9]+') IF len(t) >= 2]"
 
 
 _STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)

@@ -93,7 +93,7 @@ def routes(engine: Engine, api: ApiSettings) -> dict[tuple[str, str], Callable[[
         ("POST", "/graph/index"): graph(lambda b: engine.index_graph(folder(b), bool(b.get("clear")))),
         ("GET", "/graph/stats"): graph(lambda b: listed(engine.graph.stats())[0]),
         ("DELETE", "/graph/clear"): graph(lambda b: cleared(engine.graph.clear)),
-        ("POST", "/graph/symbol/search"): graph(lambda b: symbols(engine.find_symbols(b.get("name"), b.get("kind"), b.get("file_path"), b.get("decorator")))),
+        ("POST", "/graph/symbol/search"): graph(lambda b: symbols(engine.find_symbols(b.get("name"), b.get("file_path"), b.get("decorator"), b.get("kind")))),
         ("POST", "/graph/callers"): graph(lambda b: symbols(engine.callers(wanted(b), int(b.get("depth", 1))))),
         ("POST", "/graph/callees"): graph(lambda b: symbols(engine.callees(wanted(b), int(b.get("depth", 1))))),
         ("POST", "/graph/call-path"): graph(lambda b: {"path": engine.call_path(b["from"], b["to"])}),

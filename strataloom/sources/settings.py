@@ -53,7 +53,7 @@ class LlmSettings:
 
 @dataclass(frozen=True)
 class ApiSettings:
-    host: str = "0.0.0.0"
+    host: str = "127.0.0.1"
     port: int = 8000
     api_key: str = ""
 

@@ -11,7 +11,7 @@ def one(spark, column):
 
 
 def test_split_identifier(spark):
-    cases = {"getUserByEmail": ["get", "user", "by", "email"], "MAX_RETRY_COUNT": ["max", "retry", "count"], "parseHTTPResponse2Go": ["parse", "http", "response2", "go"], "user2Id": ["user2", "id"], "x": []}
+    cases = {"getUserByEmail": "get user by email".split(), "MAX_RETRY_COUNT": "max retry count".split(), "parseHTTPResponse2Go": "parse http response2 go".split(), "user2Id": ["user2", "id"], "x": []}
     for name, words in cases.items():
         assert one(spark, text.split_identifier(F.lit(name))) == words
     assert one(spark, text.noun_tokens(F.array(F.lit("getUserByEmail")), True)) == ["user", "email"]
