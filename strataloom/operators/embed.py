@@ -23,7 +23,7 @@ class HashingEmbedder:
     def embed_texts(self, texts: list[str]) -> Vectors:
         out = np.zeros((len(texts), self.dimensions))
         for row, t in zip(out, texts):
-            for word in re.findall(r"[a-z0-9]{2,}", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", t).lower()):
+            for word in re.findall(r"[a-z0-9]{2,}", re.sub("(?<=[a-z0-9])(?=[A-Z])", " ", t).lower()):
                 h = zlib.crc32(word.encode())
                 row[h % self.dimensions] += 1 if h & 0x80000000 else -1
         length = np.linalg.norm(out, axis=1, keepdims=True)

@@ -122,12 +122,16 @@ def packed_line() -> Column:
     return F.concat(F.lit("  ["), "kind", F.lit("] "), "qualified_name", F.lit("  "), "file_path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit("  (score="), F.format_string("%.3f", "score"), F.lit(")"))
 
 
+def _rule(title: str) -> str:
+    return f"=== {title} ==="
+
+
 def packed_text(symbols: int, tokens: int, lines: list[str], concerns: list[str] = ()) -> str:
     """A packing for a prompt: concerns, as hints, above the window's lines."""
-    window = "\n".join([f"=== Context window: {symbols} symbols ({tokens} est. tokens) ===", *lines])
+    window = "\n".join([_rule(f"Context window: {symbols} symbols ({tokens} est. tokens)"), *lines])
     if not concerns:
         return window
-    hints = ["=== Inferred concerns (use as guidance, not ground truth) ===", "", *[x for c in concerns for x in (c, "")], "They were inferred and may miss parts; look further where needed.", ""]
+    hints = [_rule("Inferred concerns (use as guidance, not ground truth)"), "", *[x for c in concerns for x in (c, "")], "They were inferred and may miss parts; look further where needed.", ""]
     return "\n".join([*hints, window])
 
 
