@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import ship
+
 
 Vectors = list[list[float]]
 
@@ -35,6 +37,7 @@ class HashingEmbedder:
 
 def embed_column(df: DataFrame, column: str, make: Callable, into: str = "embedding", batch: int = 64, tries: int = 3) -> DataFrame:
     """df with the vectors of a text column. `make` builds the embedder once a task; a batch that fails is tried again."""
+    ship(df.sparkSession)
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes if n != into) + f", `{into}` array<float>"
     kept = [c for c in df.columns if c != into]
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def candidates(items: DataFrame, budget: int, least: float = 0.0, order: Column | None = None) -> DataFrame:
     """id, score, cost of items that may be packed: score at least `least`, the first row of an id, cost within the budget."""
@@ -47,6 +49,7 @@ def greedy(items: DataFrame, budget: int, group: list[str] | None = None) -> Dat
 
 def exact(items: DataFrame, budget: int, quantum: int = 64, group: list[str] | None = None) -> DataFrame:
     """The best total score of each group, with costs rounded up to quanta; items without a score are never taken."""
+    ship(items.sparkSession)
     size, group = budget // quantum, group or []
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:

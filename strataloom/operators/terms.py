@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import ship
 
 
 class LanguageModel(Protocol):
@@ -49,6 +50,7 @@ def enrich(tokens: DataFrame, model: LanguageModel, context_chars: int = 800) ->
                 out.append((token, context, name, about))
             yield pd.DataFrame(out, columns=["token", "context", "expanded_name", "definition"])
 
+    ship(tokens.sparkSession)
     wanted = tokens.select("token", F.substring(F.coalesce("context", F.lit("")), 1, context_chars).alias("context")).distinct()
     return wanted.mapInPandas(run, "token string, context string, expanded_name string, definition string")
 
@@ -62,6 +64,7 @@ def enrich_symbols(symbols: DataFrame, model: LanguageModel, most: int = 5) -> D
 
 def term_chunks(pairs: DataFrame, model: LanguageModel, source_chars: int = 1000, most_tokens: int = 80) -> DataFrame:
     """pairs (symbol_name, expanded_name, definition, source, ...) with a summary of the term's role; unrelated and empty answers are dropped."""
+    ship(pairs.sparkSession)
     schema = ", ".join(f"`{n}` {t}" for n, t in pairs.dtypes) + ", summary string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
