@@ -95,6 +95,13 @@ class Engine:
         maker = self.make_embedder()
         return search.Retriever(self.vectors.read(), lambda q: maker.embed_texts([q])[0], (lambda q: self.relevance(q, "content")) if rerank else None).search(query)
 
+    def search_hybrid(self, query: str, k: int = 10) -> DataFrame:
+        """Chunks by vector and by what the graph relates them to, with their fused score and rank."""
+        vector = self.make_embedder().embed_texts([query])[0]
+        chunks = self.vectors.read()
+        found = search.hybrid_chunks(chunks, self.graph.read("symbols"), self.graph.read("edges"), vector, k)
+        return chunks.drop("embedding").join(found, "chunk_id").orderBy("rank")
+
     def delete_file(self, path: str) -> int:
         return self.vectors.delete(F.col("path") == path)
 

@@ -148,22 +148,59 @@ def blend(vector_score: Column, centrality: Column, weight: float = 0.6) -> Colu
     return F.lit(weight) * vector_score + F.lit(1 - weight) * centrality
 
 
-def graph_expansion(seeds: DataFrame, calls: DataFrame, node: str = "node", per_side: int = 3, most: int = 3) -> DataFrame:
-    """(node, rank): neighbours of ranked seeds that are no seeds themselves.
+def related(seeds: DataFrame, relations: list[tuple[DataFrame, str, str, int | None]], node: str = "node", most: int = 3) -> DataFrame:
+    """(node, rank): what the ranked seeds are related to and is no seed itself, in the order of the first seed.
 
-    A seed gives its first `per_side` callers, then as many callees, at most `most` in all; nodes come in the order of
-    their first seed. calls has src and tgt; seeds has node and rank, and is a top-k.
+    relations are (edges, own column, far column, cap) in falling priority: a seed gives the first `cap` of each (all
+    where it is None), and `most` in all. seeds has node and rank, and is a top-k.
     """
-    near = seeds.join(calls, F.col("tgt") == F.col(node)).select("rank", F.lit(0).alias("side"), F.col("src").alias("near"))
-    near = near.union(seeds.join(calls, F.col("src") == F.col(node)).select("rank", F.lit(1), F.col("tgt"))).distinct()
-    own = Window.partitionBy("rank", "side").orderBy("near")
-    near = near.withColumn("n", F.row_number().over(own)).filter(F.col("n") <= per_side)
+    near = None
+    for side, (rel, own, far, cap) in enumerate(relations):
+        found = seeds.join(rel.select(F.col(own).alias(node), F.col(far).alias("near")).distinct(), node).select("rank", F.lit(side).alias("side"), F.lit(cap if cap else 1 << 30).alias("cap"), "near")
+        near = found if near is None else near.union(found)
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("rank", "side").orderBy("near"))).filter("n <= cap")
     fresh = near.join(seeds.select(F.col(node).alias("near")), "near", "left_anti")
     fresh = fresh.withColumn("m", F.row_number().over(Window.partitionBy("rank").orderBy("side", "n", "near"))).filter(F.col("m") <= most)
     first = fresh.groupBy("near").agg(F.min(F.struct("rank", "m")).alias("first"))
     return first.select(F.col("near").alias(node), F.row_number().over(Window.orderBy("first.rank", "first.m", "near")).alias("rank"))
 
 
+def graph_expansion(seeds: DataFrame, calls: DataFrame, node: str = "node", per_side: int = 3, most: int = 3) -> DataFrame:
+    """Callers, then callees, of ranked seeds; calls has src and tgt."""
+    return related(seeds, [(calls, "tgt", "src", per_side), (calls, "src", "tgt", per_side)], node, most)
+
+
+def symbols_of_chunks(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(chunk_id, rank, node): the first symbol of a ranked chunk's name whose file starts with the chunk's path."""
+    found = chunks.select("chunk_id", "rank", "name", "path").join(symbols.select("name", F.col("id").alias("node"), "file_path", "start_line"), "name").filter(F.col("file_path").startswith(F.col("path")))
+    return found.groupBy("chunk_id", "rank").agg(F.min_by("node", F.struct("file_path", "start_line")).alias("node"))
+
+
+def chunks_of_symbols(nodes: DataFrame, symbols: DataFrame, chunks: DataFrame, query: list[float], per_symbol: int = 3, vector: str = "embedding") -> DataFrame:
+    """(chunk_id, rank): the best chunks by cosine of ranked symbols' path and name, symbol by symbol."""
+    own = nodes.select("node", F.col("rank").alias("symbol_rank")).join(symbols.select(F.col("id").alias("node"), F.col("file_path").alias("path"), "name"), "node")
+    scored = chunks.join(own, ["path", "name"]).withColumn("score", vectors.score(vectors.as_double(vector), vectors.literal(query)))
+    best = scored.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "chunk_id"))).filter(F.col("n") <= per_symbol)
+    first = best.groupBy("chunk_id").agg(F.min(F.struct("symbol_rank", "n")).alias("first"))
+    return first.select("chunk_id", F.row_number().over(Window.orderBy("first.symbol_rank", "first.n", "chunk_id")).alias("rank"))
+
+
+def hybrid_chunks(chunks: DataFrame, symbols: DataFrame, edges: DataFrame, query: list[float], k: int = 10) -> DataFrame:
+    """(chunk_id, score, rank): vector hits (twice k), chunks of what the first k are related to, and the fusion of both.
+
+    Relations in falling priority: callers, callees, the class around, methods, bases. edges has rel_type, source_id
+    and target_id.
+    """
+    hits = top_k(chunks, query, 2 * k)
+    seeds = symbols_of_chunks(hits.filter(F.col("rank") <= k), symbols)
+    seeds = seeds.groupBy("node").agg(F.min("rank").alias("rank"))
+    of = lambda rel: edges.filter(F.col("rel_type") == rel)
+    calls, contains, inherits = of("CALLS"), of("CONTAINS"), of("INHERITS_FROM")
+    relations = [(calls, "target_id", "source_id", 3), (calls, "source_id", "target_id", 3), (contains, "target_id", "source_id", 1), (contains, "source_id", "target_id", 3), (inherits, "source_id", "target_id", None)]
+    found = chunks_of_symbols(related(seeds, relations), symbols, chunks, query)
+    return reciprocal_rank_fusion([hits.select("chunk_id", "rank"), found.join(hits.select("chunk_id"), "chunk_id", "left_anti")], k=k)
+
+
 def hybrid(rows: DataFrame, query: list[float], calls: DataFrame, k: int = 10, vector: str = "embedding", key: str = "chunk_id") -> DataFrame:
     """Vector hits (twice k), their graph expansion, and the fusion of both."""
     hits = top_k(rows, query, 2 * k, vector=vector, key=key).select(F.col(key).alias("node"), "rank")

@@ -103,3 +103,17 @@ def test_terms_and_concerns(spark):
     assert built.chunk_places == [0, 0] and built.symbols == ["q0"]
     three = spark.createDataFrame([(0,), (1,), (2,)], "concern int")
     assert [r.concern for r in terms.rank_concerns(three, [1, 5, 1]).orderBy("rank").collect()] == [1, 0, 2]
+
+
+def test_hybrid_chunks(spark):
+    chunks = spark.createDataFrame([("c1", "a.py", "f", [1.0, 0.0]), ("c2", "b.py", "g", [0.0, 1.0]), ("c3", "b.py", "h", [-1.0, 0.0])], "chunk_id string, path string, name string, embedding array<float>")
+    symbols = spark.createDataFrame([("f", "f", "a.py", 1), ("g", "g", "b.py", 1), ("h", "h", "b.py", 5)], "id string, name string, file_path string, start_line int")
+    edges = spark.createDataFrame([("CALLS", "h", "f"), ("CALLS", "g", "h")], "rel_type string, source_id string, target_id string")
+    got = search.hybrid_chunks(chunks, symbols, edges, [1.0, 0.0], 1).collect()
+    assert [(r.chunk_id, r["rank"]) for r in got] == [("c1", 1)]
+    hits = search.top_k(chunks, [1.0, 0.0], 1)
+    seeds = search.symbols_of_chunks(hits, symbols)
+    assert [(r.chunk_id, r.node) for r in seeds.collect()] == [("c1", "f")]
+    near = search.related(seeds, [(edges, "target_id", "source_id", 3)])
+    assert [r.node for r in near.collect()] == ["h"]
+    assert [(r.chunk_id, r["rank"]) for r in search.chunks_of_symbols(near, symbols, chunks, [1.0, 0.0]).collect()] == [("c3", 1)]

@@ -101,6 +101,8 @@ def test_engine(spark, tree, tmp_path):
     stats = engine.graph.stats().first()
     assert stats["total_files"] == 6 and stats["edges_by_type"]["CALLS"] >= 2
     assert engine.centrality().count() == stats["total_symbols"]
+    hybrid = engine.search_hybrid("hash password", 5).collect()
+    assert [r["rank"] for r in hybrid] == list(range(1, len(hybrid) + 1)) and hybrid
     assert engine.delete_file("m.go") > 0
     utils = engine.find_symbols("hash_password").first()["file_id"]
     assert engine.graph.delete_file(utils) == 2 and engine.find_symbols("hash_password").count() == 0
