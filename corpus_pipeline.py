@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.llm.language_filter import UNKNOWN, detect_languages
-from strataloom.llm.order_minhash import near_duplicate_classes
+from strataloom.llm.order_minhash import numbered, row_classes
 from strataloom.llm.packing import pack_documents
 from strataloom.llm.subword_quality import score_quality
 from strataloom.llm.workspace import Workspace
@@ -35,14 +35,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one of the least doc_id.
-
-    Rows that repeat a doc_id are one document and stay together; rows without one cannot be told apart and all stay.
-    """
-    # the ids are as many as the documents: never broadcast, and hashed rather than sorted along with the texts
-    kept = near_duplicate_classes(docs).filter("kept").select("doc_id").hint("shuffle_hash")
-    found = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return found.unionByName(docs.filter("doc_id is null"))
+    """One row of each class of near-duplicates: the one of the least doc_id, null last. A doc_id may repeat or be null."""
+    ws = Workspace(spark, "near-duplicates")
+    rows = numbered(ws, docs)
+    # the kept rows are as many as the documents: never broadcast, and hashed rather than sorted along with the texts
+    kept = row_classes(ws, rows).filter("kept").select("row_uid").hint("shuffle_hash")
+    ws.drop("sketched", "groups")
+    return rows.join(kept, "row_uid", "left_semi").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

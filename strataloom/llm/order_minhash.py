@@ -143,8 +143,13 @@ def sketch(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return prints, count, keys, least
 
 
+def numbered(ws: Workspace, docs: DataFrame) -> DataFrame:
+    """docs with row_uid, written once: both readings of the texts, and whoever joins rows again, see the same numbers."""
+    return ws.keep(docs.withColumn("row_uid", F.monotonically_increasing_id()), "numbered")
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, f1, f2 (fingerprint of the words), n_kmers, keys, least for every row with a doc_id."""
+    """row_uid, doc_id, f1, f2 (fingerprint of the words), n_kmers, keys, least for every row."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,12 +158,12 @@ def sketched(docs: DataFrame) -> DataFrame:
                 prints, count, keys, least = sketch(texts)
                 offsets = pa.array(np.arange(0, (len(texts) + 1) * SKETCHES, SKETCHES, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(texts)), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.array(count), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array([r.tobytes() for r in least], pa.binary())],
-                    names=["doc_id", "f1", "f2", "n_kmers", "keys", "least"],
+                    [*(batch.column(c).slice(first, len(texts)) for c in ("row_uid", "doc_id")), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.array(count), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array([r.tobytes() for r in least], pa.binary())],
+                    names=["row_uid", "doc_id", "f1", "f2", "n_kmers", "keys", "least"],
                 )
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    return base.mapInArrow(run, "doc_id long, f1 long, f2 long, n_kmers long, keys array<long>, least binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("row_uid", "doc_id", "text").mapInArrow(run, f"row_uid long, doc_id {kind}, f1 long, f2 long, n_kmers long, keys array<long>, least binary")
 
 
 class Forest:
@@ -192,13 +197,13 @@ def in_blocks(members: DataFrame, group: list[str], doc_id: str) -> DataFrame:
 def candidate_links(representatives: DataFrame) -> DataFrame:
     """a, b: for each bucket of a sketch, links that span its texts of agreeing least k-mers."""
     order = ["key", "lo", "hi"]
-    rows = representatives.filter("n_kmers > 0").select("doc_id", "least", F.explode("keys").alias("key"))
-    placed = in_blocks(rows, ["key"], "doc_id")
+    rows = representatives.filter("n_kmers > 0").select("row_uid", "least", F.explode("keys").alias("key"))
+    placed = in_blocks(rows, ["key"], "row_uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_runs(batches, order):
             starts = np.append(run_starts(table, order), table.num_rows)
-            ids, least = table.column("doc_id").to_numpy(), np.frombuffer(b"".join(table.column("least").to_pylist()), np.uint16).reshape(-1, SKETCHES)
+            ids, least = table.column("row_uid").to_numpy(), np.frombuffer(b"".join(table.column("least").to_pylist()), np.uint16).reshape(-1, SKETCHES)
             a, b = [], []
             for k in np.flatnonzero(np.diff(starts) > 1):
                 first, stop = int(starts[k]), int(starts[k + 1])
@@ -216,7 +221,7 @@ def candidate_links(representatives: DataFrame) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return placed.select("doc_id", "least", *order).repartition(*order).sortWithinPartitions(*order, "doc_id").mapInArrow(run, "a long, b long")
+    return placed.select("row_uid", "least", *order).repartition(*order).sortWithinPartitions(*order, "row_uid").mapInArrow(run, "a long, b long")
 
 
 def alignment_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: float) -> float:
@@ -284,35 +289,34 @@ def verified_links(texts: list[str], side: np.ndarray | None, least: float) -> l
     return links
 
 
-def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, representative, kept: one row for each doc_id of docs.
+def row_classes(ws: Workspace, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """row_uid, doc_id, class_row, class_id, representative, kept: one row for each row of docs, which come from `numbered`.
 
-    class_id is the least doc_id of the class; representative the least doc_id with the same words (so copies meet
-    without pairs); kept holds for one document of a class. Words are lower-cased runs of letters and digits; texts of
-    the same words are in one class whatever stands between. Texts of fewer than five words, and texts without a word
-    (null counts as empty), are alike only if equal in words, or in text. Rows that repeat a doc_id count as one
-    document, with the texts of all of them. A null doc_id has no row. Extra columns are ignored.
+    class_row is the row that a class keeps: of its rows the one of the least doc_id, null last, then of the least
+    row_uid; kept holds for it alone. class_id is its doc_id. representative is the least doc_id with the same words (so
+    copies meet without pairs). Rows are told apart by row_uid only, so a doc_id may repeat or be null. Words are
+    lower-cased runs of letters and digits; texts of the same words are in one class whatever stands between. Texts of
+    fewer than five words, and texts without a word (null counts as empty), are alike only if equal in words, or in text.
 
-    The texts are read twice: once for sketches, of which 0.2 KB a document are kept, and once for those that are
-    candidates. Copies are set aside first. Buckets and groups of any size are compared in blocks of BLOCK documents.
+    The texts are read twice: once for sketches, of which 0.2 KB a row are kept, and once for those that are
+    candidates. Copies are set aside first. Buckets and groups of any size are compared in blocks of BLOCK rows.
     """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "order-minhash")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_uid")
     rows = ws.keep(sketched(docs), "sketched")
-    prints = rows.select("doc_id", "f1", "f2")
-    first = prints.groupBy("f1", "f2").agg(F.min("doc_id").alias("representative"))
-    members = ws.keep(prints.join(first, ["f1", "f2"]).select("doc_id", "representative"), "members")
-    alone = members.filter("doc_id = representative").select("doc_id").distinct()
-    representatives = rows.join(alone, "doc_id", "left_semi")
+    prints = rows.select("row_uid", "doc_id", "f1", "f2")
+    first = prints.groupBy("f1", "f2").agg(F.min(rank).alias("first"))
+    members = ws.keep(prints.join(first, ["f1", "f2"]).select("row_uid", "doc_id", F.col("first.row_uid").alias("first_row"), F.col("first.doc_id").alias("representative")), "members")
+    alone = members.filter("row_uid = first_row")
+    representatives = rows.join(alone.select("row_uid"), "row_uid", "left_semi")
     groups = connected_components(ws, candidate_links(representatives), "a", "b", "candidates")
-    candidates = ws.keep(in_blocks(groups.select(F.col("id").alias("doc_id"), F.col("component").alias("group")), ["group"], "doc_id"), "groups")
+    candidates = ws.keep(in_blocks(groups.select(F.col("id").alias("row_uid"), F.col("component").alias("group")), ["group"], "row_uid"), "groups")
     order = ["group", "lo", "hi"]
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(candidates, "doc_id").select("doc_id", "text", *order, "block")
+    texts = docs.select("row_uid", "text").join(candidates, "row_uid").select("row_uid", "text", *order, "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_runs(batches, order):
             starts = np.append(run_starts(table, order), table.num_rows)
-            ids, block = table.column("doc_id").to_numpy(), table.column("block").to_numpy()
+            ids, block = table.column("row_uid").to_numpy(), table.column("block").to_numpy()
             lo, hi = table.column("lo").to_numpy(), table.column("hi").to_numpy()
             found = []
             for a, b in zip(starts.tolist(), starts[1:].tolist()):
@@ -322,14 +326,34 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFr
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
-    links = texts.repartition(*order).sortWithinPartitions(*order, "doc_id").mapInArrow(run, "a long, b long")
-    # a doc_id with several texts has several representatives, which it ties together
-    every = links.union(members.select(F.col("doc_id").alias("a"), F.col("representative").alias("b")))
-    classes = connected_components(ws, every, "a", "b", "classes")
-    out = members.groupBy("doc_id").agg(F.min("representative").alias("representative")).join(classes, F.col("doc_id") == F.col("id"), "left")
-    return out.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"), "representative", (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"))
+    links = texts.repartition(*order).sortWithinPartitions(*order, "row_uid").mapInArrow(run, "a long, b long")
+    linked = alone.join(connected_components(ws, links, "a", "b", "classes").withColumnRenamed("id", "row_uid"), "row_uid").select("component", rank.alias("rank"))
+    best = linked.groupBy("component").agg(F.min("rank").alias("best"))
+    moved = linked.join(best, "component").select(F.col("rank.row_uid").alias("first_row"), F.col("best.row_uid").alias("best_row"), F.col("best.doc_id").alias("best_id"))
+    class_row = F.coalesce("best_row", "first_row")
+    class_id = F.when(F.col("best_row").isNull(), F.col("representative")).otherwise(F.col("best_id"))
+    out = members.join(moved, "first_row", "left")
+    return out.select("row_uid", "doc_id", class_row.alias("class_row"), class_id.alias("class_id"), "representative", (class_row == F.col("row_uid")).alias("kept"))
+
+
+def near_duplicate_rows(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """row_classes of docs (doc_id, text) in any order, for callers that need no other column of the rows."""
+    ws = Workspace(docs.sparkSession, "order-minhash")
+    out = row_classes(ws, numbered(ws, docs.select("doc_id", "text")), least)
+    ws.drop("numbered", "sketched", "groups")  # what is left of the plan reads members and classes
+    return out
+
+
+def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id, representative, kept: the rows of near_duplicate_rows by doc_id, for docs whose ids are unique.
+
+    Of a doc_id that repeats it tells the least class_id and representative, and whether any row is kept; rows without
+    a doc_id are left out. To choose among rows, use near_duplicate_rows.
+    """
+    rows = near_duplicate_rows(docs, least).filter("doc_id is not null")
+    return rows.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("representative").alias("representative"), F.max("kept").alias("kept"))
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    """Near-duplicate classes of all documents."""
-    return near_duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """Near-duplicate classes of all rows of documents."""
+    return near_duplicate_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"))

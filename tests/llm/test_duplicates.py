@@ -184,3 +184,19 @@ def test_tables_follow_the_rows():
     tables, signs = plan_tables(10**8, 0.98)
     assert signs == 30 and (1 - (1 - np.arccos(0.98) / np.pi) ** signs) ** tables <= 7e-6
     assert plan_tables(0, 1.0) == (1, 16)
+
+
+def test_rows_are_told_apart_without_ids(spark, sentence):
+    import corpus_pipeline
+    from strataloom.llm.order_minhash import near_duplicate_rows
+
+    a, b, c, d = (sentence("en", 80, k) for k in range(4))
+    rows = [(3, a), (5, a), (5, b), (9, b), (None, c), (None, c + "!"), (None, a), (7, d), (7, d), (None, d), (0, "few words"), (0, sentence("fr", 60, 9)), (0, sentence("fr", 60, 10))]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, source string").coalesce(1)
+    got = [(r.doc_id, r.class_id, r.kept) for r in near_duplicate_rows(docs).orderBy("row_uid").collect()]
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (9, 5, False), (None, None, True), (None, None, False), (None, 3, False), (7, 7, True), (7, 7, False), (None, 7, False), (0, 0, True), (0, 0, True), (0, 0, True)]
+    classes = near_duplicate_rows(docs).groupBy("class_row").count().collect()
+    assert sorted(r["count"] for r in classes) == [1, 1, 1, 2, 2, 3, 3]
+    left = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in left.collect()) == sorted([(False, 3, a), (False, 5, b), (True, 0, c), (False, 7, d), *((False, i, t) for i, t in rows if i == 0)])
