@@ -382,6 +382,18 @@ def chunk_context(spark, d):
     return chunking.with_context(at4, 3).select("doc_id", F.col("context_before").alias("before_4"), F.col("context_after").alias("after_4"))
 
 
+_BREAKS = "length({0}) - length(replace({0}, chr(10), ''))"
+
+
+# chunk_context above annotates one line a document; this annotates every window of every document
+@query(f"""WITH {_WIN}, x AS (SELECT doc_id, start, raw, string_split(text, chr(10)) AS p, {_BREAKS.format("substr(text, 1, start)")} + 1 AS first FROM r WHERE regexp_matches(raw, '\\S')),
+y AS (SELECT *, first + {_BREAKS.format("raw")} AS last FROM x)
+SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(first AS INTEGER) AS start_line, CAST(last AS INTEGER) AS end_line, coalesce(array_to_string(p[greatest(1, first - 3):first - 1], chr(10)), '') AS context_before, coalesce(array_to_string(p[last + 1:last + 3], chr(10)), '') AS context_after FROM y""")
+def chunk_context_all(spark, d):
+    chunks = chunking.sliding_windows(table(spark, d, "documents"), _SIZE, _SIZE - _STEP, "none")
+    return chunking.with_context(chunks, 3).select("doc_id", "start", "start_line", "end_line", "context_before", "context_after")
+
+
 @query(f"""WITH {_WIN} SELECT doc_id, CAST(start AS INTEGER) AS start, substr(sha256(f || ':' || start || ':' || (start + length(raw))), 1, 32) AS chunk_id, f AS file_id FROM (SELECT *, substr(sha256('doc/' || doc_id), 1, 16) AS f FROM r) WHERE regexp_matches(raw, '\\S')""")
 def chunk_ids(spark, d):
     rows = chunking.sliding_windows(table(spark, d, "documents"), _SIZE, _SIZE - _STEP, "none")

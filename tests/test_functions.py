@@ -117,3 +117,18 @@ def test_hybrid_chunks(spark):
     near = search.related(seeds, [(edges, "target_id", "source_id", 3)])
     assert [r.node for r in near.collect()] == ["h"]
     assert [(r.chunk_id, r["rank"]) for r in search.chunks_of_symbols(near, symbols, chunks, [1.0, 0.0]).collect()] == [("c3", 1)]
+
+
+def test_context_of_every_chunk(spark, tmp_path):
+    from strataloom.plans.catalogue import QUERIES
+
+    long = "".join(f"line {k} " + "x" * 90 + "\n" for k in range(1, 61))
+    spark.createDataFrame([(1, long), (2, "short\ntext"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["chunk_context_all"](spark, str(tmp_path)).orderBy("doc_id", "start").collect()
+    assert [(r.doc_id, r.start) for r in rows] == [(1, 0), (1, 1800), (1, 3600), (1, 5400), (2, 0)]
+    assert rows[-1].context_before == rows[-1].context_after == ""
+    lines = long.split("\n")
+    for r in rows[:-1]:
+        assert r.context_before == "\n".join(lines[max(0, r.start_line - 4) : r.start_line - 1])
+        assert r.context_after == "\n".join(lines[r.end_line : r.end_line + 3])
+    assert rows[3].start_line > 50
