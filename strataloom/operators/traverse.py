@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import settle
 
+#: Levels after which what was seen is written as one table, so that plans stay short however deep a search goes.
+SETTLE_EVERY = 16
+
 
-def hops(edges: DataFrame, start: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
-    """(id, depth) of what is reached from the start ids in at most `depth` steps, the starts left out.
+def hops(edges: DataFrame, start: DataFrame, depth: int | None, reverse: bool = False) -> DataFrame:
+    """(id, depth) of what is reached from the start ids in at most `depth` steps, or in any number (None), the starts left out.
 
     Reverse follows edges from target to source. A level is one join, less what was seen before; up to three levels
     are one plan, more are cut by checkpoints.
@@ -18,13 +23,15 @@ def hops(edges: DataFrame, start: DataFrame, depth: int, reverse: bool = False)
     steps = edges.select(F.col(here).alias("at"), F.col(there).alias("id")).distinct()
     first = start.select(F.col(start.columns[0]).alias("id")).distinct()
     seen, level = first.withColumn("depth", F.lit(0)), first
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         level = steps.join(level.withColumnRenamed("id", "at"), "at").select("id").distinct().join(seen.select("id"), "id", "left_anti")
-        if depth > 3:
+        if depth is None or depth > 3:
             level = settle(level)
             if level.isEmpty():
                 break
         seen = seen.union(level.withColumn("depth", F.lit(d)))
+        if d % SETTLE_EVERY == 0:
+            seen = settle(seen)
     return seen.filter("depth > 0")
 
 
@@ -41,13 +48,13 @@ def neighbours(edges: DataFrame, start: DataFrame, rel_type: str, outgoing: bool
     return hops(edges.filter(F.col("rel_type") == rel_type), start, 1, reverse=not outgoing).select("id")
 
 
-def shortest_path(edges: DataFrame, source, target, most: int = 50) -> DataFrame:
+def shortest_path(edges: DataFrame, source, target) -> DataFrame:
     """One row with `path`, an array of ids, or no row. Of equally short paths it is the least, id by id. A node reaches itself by [source]."""
     spark, steps = edges.sparkSession, edges.select("src", "tgt").distinct()
     kind = dict(edges.dtypes)["src"]
     level = spark.range(1).select(F.lit(source).cast(kind).alias("id"), F.array(F.lit(source).cast(kind)).alias("path"))
     seen = level.select("id")
-    for _ in range(most):
+    for d in count(1):
         hit = level.filter(F.col("id") == target)
         if not hit.isEmpty():
             return hit.select("path")
@@ -56,12 +63,14 @@ def shortest_path(edges: DataFrame, source, target, most: int = 50) -> DataFrame
         if level.isEmpty():
             break
         seen = seen.union(level.select("id"))
+        if d % SETTLE_EVERY == 0:
+            seen = settle(seen)
     return level.filter(F.lit(False)).select("path")
 
 
-def closure_edges(edges: DataFrame, start: DataFrame, most: int = 100) -> DataFrame:
+def closure_edges(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(src, tgt) of all edges that leave the start or anything it reaches."""
-    inside = start.select(F.col(start.columns[0]).alias("id")).union(hops(edges, start, most).select("id"))
+    inside = start.select(F.col(start.columns[0]).alias("id")).union(hops(edges, start, None).select("id"))
     return edges.select("src", "tgt").distinct().join(inside.withColumnRenamed("id", "src"), "src", "left_semi")
 
 

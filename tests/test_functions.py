@@ -132,3 +132,9 @@ def test_context_of_every_chunk(spark, tmp_path):
         assert r.context_before == "\n".join(lines[max(0, r.start_line - 4) : r.start_line - 1])
         assert r.context_after == "\n".join(lines[r.end_line : r.end_line + 3])
     assert rows[3].start_line > 50
+
+
+def test_searches_end_only_where_the_graph_does(spark):
+    chain = spark.createDataFrame([(k, k + 1, 0.9) for k in range(120)] + [(120, 0, 0.9), (500, 501, 0.9)], "src long, tgt long, conf double").coalesce(1)
+    assert traverse.shortest_path(chain, 0, 60).first()["path"] == list(range(61))
+    assert traverse.closure_edges(chain, spark.createDataFrame([(0,)], "id long")).count() == 121
