@@ -46,13 +46,20 @@ def byte_letters() -> list[str]:
 
 
 class Memo(dict):
-    """A dict that computes what it lacks. Two generations bound it: when the young one is full, it becomes the old one."""
+    """A dict that computes what it lacks. Two generations bound it: when the young one is full, it becomes the old one.
+
+    A string above LONGEST_KEY characters is computed each time and never kept, so entries bound bytes too.
+    """
+
+    LONGEST_KEY = 256
 
     def __init__(self, compute, most: int):
         super().__init__()
         self.compute, self.most, self.old = compute, most, {}
 
     def __missing__(self, key):
+        if len(key) > self.LONGEST_KEY:
+            return self.compute(key)
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
@@ -120,40 +127,37 @@ def ranked_by_id(tokenizer, path: str) -> dict[bytes, int] | None:
 
 
 #: Characters outside these blocks go to the tokenizers library: there two libraries' tables of letters might differ.
-_RARE = re.compile("[^\x00-\u024f\u2000-\u206f\u20a0-\u20c0]")
+RARE = re.compile("[^\x00-\u024f\u2000-\u206f\u20a0-\u20c0]")
+#: A run of white space this long goes to the tokenizers library: the pattern's look-ahead makes tiktoken step back over
+#: the whole run, which fails (and kills the worker) on a run of a million.
+_LONG_BLANK = re.compile(f"[{WHITE}]{{4096}}")
 
 
 class IdsEncoder:
     """A text's ids, as little-endian unsigned 32-bit bytes, as the tokenizers library gives them with its defaults.
 
-    Where a vocabulary ranks its merges by the ids that they make, as is checked, texts go to tiktoken with the same
-    vocabulary, which is several times faster and gives the same ids. Every worker compares its first texts with the
-    tokenizers library, and goes on with that alone should they ever differ. Strings of added tokens are split off
-    first, as the library does.
+    Where a vocabulary ranks its merges by the ids that they make, as is checked when it is loaded, texts go to tiktoken
+    with the same vocabulary, which is several times faster and gives the same ids. What the two might split
+    differently, rare characters and very long runs of white space, goes to the tokenizers library: by the text alone,
+    so all workers agree. Strings of added tokens are split off first, as the library does.
     """
 
-    def __init__(self, path: str, compared: int = 50):
+    def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
         self.added = {s: np.array([i], "<u4").tobytes() for s, i in added_tokens(self.tokenizer).items()}
         self.split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
-        self.fast, self.compared = None, compared
+        self.fast = None
         if ranks := ranked_by_id(self.tokenizer, path):
             import tiktoken
 
             self.fast = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def section(self, text: str) -> bytes:
-        if self.fast is None or _RARE.search(text):
+        if self.fast is None or RARE.search(text) or _LONG_BLANK.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        ids = self.fast.encode_ordinary(text)
-        if self.compared:
-            self.compared -= 1
-            library = self.tokenizer.encode(text, add_special_tokens=False).ids
-            if ids != library:
-                self.fast, ids = None, library
-        return np.array(ids, "<u4").tobytes()
+        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         if self.split is None or not any(s in text for s in self.added):

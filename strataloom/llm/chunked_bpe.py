@@ -1,10 +1,12 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over a window of characters sets chunk ends by content, so copies and shared passages give equal
-chunks wherever they stand. A chunk is encoded once in a Python worker. The ids near a chunk's two ends are not to be
-trusted, as words and special strings may run over them; each join is repaired by encoding its surroundings again,
-further and further out, until both ends of the window are cuts at which the ids of the parts and of the whole
-agree exactly (between a character that is not white space and one that is; see bpe_units).
+chunks wherever they stand. A chunk is encoded once in a Python worker, by itself. The ids near a chunk's two ends are
+not to be trusted, as words and special strings may run over them. A join is repaired by encoding a window around it
+again: the window's first ids must be the left chunk's own there, and its last ids the right chunk's. Where they are
+not, the window is widened and encoded again, until both sides agree exactly; a chunk in which no window agrees is
+encoded together with its neighbour. A window begins and ends at a cut (white space after a character that is none),
+which no pre-token spans in any context (see bpe_units), so ids that agree from a cut on go on agreeing.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from .workspace import extended
 
 WINDOW, LEAST, MEAN_BITS, MOST = 32, 256, 10, 8192
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_FIRST_CUT = re.compile(f"(?<=[^{WHITE}])[{WHITE}]")
+_CUT = re.compile(f"(?<=[^{WHITE}])[{WHITE}]")
+#: Characters that a window reaches into each of the two chunks at first.
+REACH = 24
 
 
 def chunk_ends(text: str) -> list[int]:
@@ -57,61 +61,135 @@ def chunk_ends(text: str) -> list[int]:
     return ends if ends[-1] == n else [*ends, n]
 
 
-def last_cut(chunk: str) -> int:
-    """Start of the chunk's last unit."""
-    for k in range(len(chunk) - 1, 0, -1):
-        if chunk[k] in WHITE and chunk[k - 1] not in WHITE:
+def cut_before(text: str, end: int) -> int:
+    """The last cut of text below `end`, or 0."""
+    for k in range(min(end, len(text)) - 1, 0, -1):
+        if text[k] in WHITE and text[k - 1] not in WHITE:
             return k
     return 0
 
 
+def cut_after(text: str, start: int) -> int:
+    """The first cut of text from `start` on, or its length."""
+    found = _CUT.search(text, start)
+    return found.start() if found else len(text)
+
+
+def size_of(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 class ChunkCodec:
-    """Encodes and decodes whole texts for one Python worker. `reused` and `encoded` count chunks."""
+    """Encodes and decodes whole texts for one Python worker.
+
+    Counted are chunks (`reused`, `encoded`, and the characters of both), joins, windows encoded for them (one a join
+    if the first agrees), and chunks that were encoded with a neighbour (`merged`).
+    """
 
     def __init__(self, path: str, most_chunks: int = 20_000):
         self.units = IdsEncoder(path)
-        self.chunks = Memo(lambda key: self.inner(self.missing.pop(key)), most_chunks)
+        self.chunks = Memo(lambda key: self.alone(self.missing.pop(key)), most_chunks)
         self.missing: dict[bytes, str] = {}
-        self.reused = self.encoded = 0
+        self.reused = self.encoded = self.reused_chars = self.encoded_chars = self.joins = self.windows = self.merged = 0
         size = self.units.size
         letters = {c: b for b, c in enumerate(byte_letters())}
         self.bytes_of = [b""] * size
         for token, i in self.units.tokenizer.get_vocab(with_added_tokens=True).items():
             self.bytes_of[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
         self.digits = np.zeros((size, len(str(size)) + 1), np.uint8)
         for i in range(size):
             text = f"{i},".encode()
             self.digits[i, : len(text)] = list(text)
 
-    def inner(self, chunk: str) -> tuple[int, int, bytes]:
-        """First and last cut of a chunk and the ids between; (0, 0) where it has no cut."""
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.units.encode(text), "<u4")
+
+    def alone(self, chunk: str) -> np.ndarray:
         self.encoded += 1
-        found = _FIRST_CUT.search(chunk)
-        if not found:
-            return 0, 0, b""
-        first, last = found.start(), last_cut(chunk)
-        return first, last, self.units.encode(chunk[first:last])
+        self.encoded_chars += len(chunk)
+        return self.ids(chunk)
+
+    def chunk(self, chunk: str) -> np.ndarray:
+        """Ids of a chunk by itself, from memory where it was met before."""
+        key = hashlib.blake2b(chunk.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if self.chunks.lacks(key):
+            self.missing[key] = chunk
+        else:
+            self.reused += 1
+            self.reused_chars += len(chunk)
+        ids = self.chunks[key]
+        self.missing.pop(key, None)
+        return ids
+
+    def joined(self, left: str, left_ids: np.ndarray | None, right: str, right_ids: np.ndarray) -> np.ndarray:
+        """Ids of left + right, given each side's own: encode a window around the join, widened until both sides agree.
+
+        Without left_ids the window begins where left does.
+        """
+        self.joins += 1
+        reach = REACH
+        while True:
+            a, b = cut_before(left, len(left) - reach) if left_ids is not None else 0, cut_after(right, reach)
+            if a == 0 and b == len(right):
+                self.merged += 1
+                return self.ids(left + right)
+            self.windows += 1
+            window = self.ids(left[a:] + right[:b])
+            sizes = np.cumsum(self.lengths[window])
+            # where the parts' own ids end at the cut, and how long each side's part of the window is, in bytes
+            tail, head = size_of(left[a:]), size_of(right[:b])
+            own = np.cumsum(self.lengths[left_ids[::-1]]) if a else np.zeros(0, np.int64)
+            keep = len(left_ids) - 1 - int(np.searchsorted(own, tail)) if a else 0
+            if a and (keep < 0 or own[len(left_ids) - 1 - keep] != tail):
+                reach *= 2
+                continue
+            ends = np.cumsum(self.lengths[right_ids])
+            drop = int(np.searchsorted(ends, head)) + 1 if b < len(right) else len(right_ids)
+            if b < len(right) and ends[drop - 1] != head:
+                reach *= 2
+                continue
+            # agreement: at least one unit on each side has the same ids in its chunk and in the window
+            inner_left, inner_right = cut_after(left, a + 1), cut_before(right, b)
+            first = size_of(left[a:inner_left]) if a and inner_left < len(left) else 0
+            last = size_of(right[inner_right:b]) if b < len(right) and inner_right else 0
+            p = int(np.searchsorted(sizes, first, side="right")) if first else 0
+            q = len(window) - int(np.searchsorted(sizes, tail + head - last, side="right")) if last else 0
+            good = (a == 0 or first) and (b == len(right) or last)
+            good = good and (not first or (sizes[p - 1] == first and np.array_equal(window[:p], left_ids[keep : keep + p])))
+            good = good and (not last or np.array_equal(window[len(window) - q :], right_ids[drop - q : drop]))
+            if good:
+                return np.concatenate([left_ids[:keep], window, right_ids[drop:]]) if a else np.concatenate([window, right_ids[drop:]])
+            reach *= 2
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit bytes."""
-        out, pending, start = [], "", 0
-        for end in chunk_ends(text):
-            chunk = text[start:end]
-            start = end
-            key = hashlib.blake2b(chunk.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if self.chunks.lacks(key):
-                self.missing[key] = chunk
-            else:
-                self.reused += 1
-            first, last, ids = self.chunks[key]
-            self.missing.pop(key, None)
-            if not first:
-                pending += chunk  # no cut yet: the join's window grows by the whole chunk
+        ends = chunk_ends(text)
+        if not ends:
+            return b""
+        # `left` is what the next window may reach into: what follows the last cut that is settled
+        left = text[: ends[0]]
+        left_ids, done = self.chunk(left), []
+        for start, end in zip(ends, ends[1:]):
+            right = text[start:end]
+            stop = cut_after(right, REACH)
+            if stop == len(right):  # nothing to agree on: encoded with what follows, so a text without cuts is encoded once
+                left, left_ids = left + right, None
+                self.merged += 1
                 continue
-            out += [self.units.encode(pending + chunk[:first]), ids]
-            pending = chunk[last:]
-        out.append(self.units.encode(pending))
-        return b"".join(out)
+            ids = self.joined(left, left_ids, right, self.chunk(right))
+            # everything before a cut in the right chunk is final; the rest may be reached again
+            own, back = np.cumsum(self.lengths[ids[::-1]]), size_of(right[stop:])
+            k = int(np.searchsorted(own, back)) + 1
+            if own[k - 1] == back:
+                done.append(ids[: len(ids) - k])
+                left, left_ids = right[stop:], ids[len(ids) - k :]
+            else:
+                left, left_ids = left + right, ids
+        if left_ids is None:
+            left_ids = self.ids(left)
+        done.append(left_ids)
+        return np.concatenate(done).astype("<u4", copy=False).tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")

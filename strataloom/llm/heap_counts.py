@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import ship
-from .bpe_units import PATTERN, PLAIN_UNIT, WHITE, Memo, UnitEncoder, byte_letters, worker_encoder
+from .arrays import text_slices
+from .bpe_units import PATTERN, PLAIN_UNIT, RARE, WHITE, Memo, UnitEncoder, byte_letters, load_tokenizer, worker_encoder
 from .workspace import extended
 
 
@@ -40,7 +41,9 @@ class HeapCounter:
             self.ranks.setdefault(number[a] << 32 | number[b], rank)
         self.known = Memo(self.count_word, 200_000)
         self.added = {t["content"]: 1 for t in spec["added_tokens"]}
-        # \s as the library has it, not as Python does
+        # \s as the library has it, not as Python does. Units with characters outside common blocks are split by the
+        # library itself, as its table of letters is of another version of Unicode than Python's.
+        self.library = load_tokenizer(path).pre_tokenizer
         self.words = regex.compile(PATTERN.replace(r"\S", f"[^{WHITE}]").replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]"))
 
     def count_word(self, word: str) -> int:
@@ -82,6 +85,8 @@ class HeapCounter:
             known = self.known
             count = known[word] + (known[marks] if marks else 0)
             return count + (1 + known[line[1:]] if line else 0) + (known[more] if more else 0)
+        if RARE.search(unit):
+            return sum(self.known[unit[a:b]] for _, (a, b) in self.library.pre_tokenize_str(unit))
         return sum(map(self.known.__getitem__, self.words.findall(unit)))
 
     def encoder(self) -> UnitEncoder:
@@ -91,7 +96,8 @@ class HeapCounter:
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit (n_tokens > limit), for whole texts and without a shuffle.
 
-    Counts of units are kept in a memo of bounded size in each Python worker. A null text counts as empty: 0 bytes,
+    Counts of units are kept in a memo of bounded size in each Python worker; units above 256 characters are counted
+    each time, and a very long text costs memory in proportion to itself. A null text counts as empty: 0 bytes,
     0 tokens. Repeated rows are each counted; extra columns stay, those of the three names are replaced.
     """
     ship(docs.sparkSession)
@@ -102,9 +108,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(("count", vocabulary), lambda: HeapCounter(vocabulary).encoder())
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            counts = [sum(encoder.parts(t)) for t in texts]
-            sizes = [len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts]
+            counts, sizes = [], []
+            for _, texts in text_slices(batch.column("text")):
+                counts += [sum(encoder.parts(t)) for t in texts]
+                sizes += [len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], names=[*kept, *named])
 
     return base.mapInArrow(run, extended(base, ("n_bytes", "long"), ("n_tokens", "long"), ("over_limit", "boolean")))

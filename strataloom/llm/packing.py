@@ -1,7 +1,7 @@
 """Best-fit packing of documents into sequences, with certified lower bounds.
 
 Pieces are packed by best-fit decreasing within partitions. Dual-feasible functions give a lower bound on each
-partition's bins; a partition that meets its bound keeps all but its emptiest bin. Partitions with a gap give up all
+partition's bins; a partition that meets its bound keeps all but its emptier bins. Partitions with a gap give up all
 bins that are not full. Partitions exchange these pieces and run best-fit decreasing again, until one holds all that
 is left.
 """
@@ -99,7 +99,10 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def pack_partitions(pieces: DataFrame, partitions: int, capacity: int, salt: int) -> DataFrame:
-    """pieces (uid, length) with part, bin, used (of its bin), bins and bound (of its partition), spare (its emptiest bin).
+    """pieces (uid, length) with part, bin, used (of its bin), bins and bound (of its partition), spare (its emptier bins).
+
+    Spare are the emptiest bin and those beyond which the fuller ones together leave more free than a share of half a
+    bin among all partitions: what certified partitions close wastes half a bin in all.
 
     The partition is a hash of the piece's number, so that no document or length is hot.
     """
@@ -115,34 +118,48 @@ def pack_partitions(pieces: DataFrame, partitions: int, capacity: int, salt: int
                 lengths = rows.column("length").to_numpy()
                 bins, made = best_fit_decreasing(lengths, capacity)
                 used = np.bincount(bins, weights=lengths, minlength=made).astype(np.int64)
+                fullest = np.argsort(-used, kind="stable")
+                spare = np.zeros(made, bool)
+                spare[fullest] = np.cumsum(capacity - used[fullest]) > capacity // (2 * partitions)
+                spare[fullest[-1]] = True
                 bound = dual_feasible_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-                out = rows.append_column("bin", pa.array(bins)).append_column("used", pa.array(used[bins])).append_column("bins", pa.array(np.full(b - a, made))).append_column("bound", pa.array(np.full(b - a, bound))).append_column("spare", pa.array(bins == used.argmin()))
+                out = rows.append_column("bin", pa.array(bins)).append_column("used", pa.array(used[bins])).append_column("bins", pa.array(np.full(b - a, made))).append_column("bound", pa.array(np.full(b - a, bound))).append_column("spare", pa.array(spare[bins]))
                 yield from out.combine_chunks().to_batches()
 
     return keyed.repartition(partitions, "part").sortWithinPartitions("part", "uid").mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, pieces_per_partition: int = 250_000, most_rounds: int = 10) -> DataFrame:
+def first_partitions(pieces: int, most_pieces: int, least_pieces: int, parallelism: int) -> int:
+    """Partitions of the first round: as many as run side by side, of `least_pieces` pieces or more, and of no more than `most_pieces`."""
+    return max(1, -(-pieces // most_pieces), min(parallelism, pieces // least_pieces))
+
+
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, most_pieces: int = 250_000, least_pieces: int = 40, most_rounds: int = 10, rounds: list | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every token of docs once, in few sequences of at most `capacity`.
 
-    Only lengths are shuffled. Each round packs partitions of about `pieces_per_partition` pieces, so a task's memory
-    is bounded by that. Final are bins that are full and, of partitions that meet their lower bound, all bins but the
-    emptiest, which holds what the bound rounds up. What is
-    left is exchanged over half the partitions or fewer. Rows that repeat a doc_id, or have none, are
+    Only lengths are shuffled. The first round packs as many partitions as run side by side, of `most_pieces` pieces at
+    most, so a task's memory is bounded by that. Final are bins that are full and, of partitions that meet their lower bound, all bins but the
+    emptier ones, which hold what the bound rounds up. What is left is exchanged over half the partitions or fewer. Rows that repeat a doc_id, or have none, are
     documents of their own with places of their own. An empty table gives an empty result. Extra columns are ignored.
+    `rounds`, if given, gets a dict a round: partitions, pieces, certified (partitions that met their bound), bins, bound.
     """
     ws = Workspace(docs.sparkSession, "packing")
     # each piece gets a number when it is written, by which its place finds it again
     pieces = ws.keep(tokenized_pieces(docs, vocabulary, capacity).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     open_pieces, final, partitions = pieces.select("uid", "length"), None, 1
+    parallelism = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for k in range(most_rounds):
         n = open_pieces.count()
         if not n:
             break
         # half the partitions or fewer each round: what is left meets ever more of what other partitions left, in tasks
         # of 16 times the pieces at most
-        partitions = max(1, min(-(-n // pieces_per_partition), max(partitions // 2, -(-n // (16 * pieces_per_partition)))) if k else -(-n // pieces_per_partition))
+        partitions = max(1, min(-(-n // most_pieces), max(partitions // 2, -(-n // (16 * most_pieces)))), partitions // 4) if k else first_partitions(n, most_pieces, least_pieces, parallelism)
         packed = ws.keep(pack_partitions(open_pieces, partitions, capacity, k), f"packed-{k}")
+        if rounds is not None:
+            each = packed.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"))
+            told = each.agg(F.count("*"), F.sum((F.col("bins") <= F.col("bound")).cast("int")), F.sum("bins"), F.sum("bound")).first()
+            rounds.append({"partitions": told[0], "pieces": n, "certified": told[1], "bins": told[2], "bound": told[3]})
         last = partitions == 1 or k + 1 == most_rounds
         done = F.lit(True) if last else ((F.col("bins") <= F.col("bound")) & ~F.col("spare")) | (F.col("used") == capacity)
         closed = packed.filter(done).select("uid", "length", (F.lit(k << 56) + F.col("part").cast("long") * (1 << 32) + F.col("bin")).alias("sequence_id"))

@@ -56,3 +56,11 @@ def extended(df: DataFrame, *fields: tuple[str, str | T.DataType]) -> T.StructTy
     for name, kind in fields:
         schema.add(name, kind)
     return schema
+
+
+def unused(name: str, taken) -> str:
+    """name, with as many underscores behind it as it takes to be none of `taken` (whatever the case)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name

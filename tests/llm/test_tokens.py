@@ -30,14 +30,50 @@ def library(vocabulary):
 
 def test_encoders_agree_with_library(vocabulary, library, sentence):
     texts = [t or "" for t in EDGES] + noise(1500) + [" ".join(noise(300, 9)), "<|endoftext|>" * 500] + [sentence(lang, 800, k) for k, lang in enumerate(("en", "de", "fr"))]
-    counter, chunked, plain = HeapCounter(vocabulary).encoder(), ChunkCodec(vocabulary), IdsEncoder(vocabulary, compared=0)
+    counter, chunked, plain = HeapCounter(vocabulary).encoder(), ChunkCodec(vocabulary), IdsEncoder(vocabulary)
     for text in texts * 2:  # the second time from memory
         ids = library(text)
         assert sum(counter.parts(text)) == len(ids)
         assert np.frombuffer(plain.encode(text), "<u4").tolist() == ids
         assert np.frombuffer(chunked.encode(text), "<u4").tolist() == ids
         assert chunked.decode(np.array(ids, int)) == text
-    assert chunked.reused > 0
+    assert chunked.reused > 0 and chunked.joins > 0 and chunked.windows >= chunked.joins - chunked.merged
+
+
+def test_long_blanks_and_rare_letters(vocabulary, library):
+    counter, chunked, plain = HeapCounter(vocabulary).encoder(), ChunkCodec(vocabulary), IdsEncoder(vocabulary)
+    for text in (" " * 1_000_000, "\n" * 1_000_000, "a" + " " * 999_999 + "b"):
+        ids = library(text)
+        assert sum(counter.parts(text)) == len(ids)
+        assert plain.encode(text) == chunked.encode(text) == np.array(ids, "<u4").tobytes()
+    for c in [0x558, 0xC5C, 0xA7CE, *range(0x250, 0x33500, 97)]:
+        if not 0xD800 <= c < 0xE000:
+            for text in (chr(c) + "'re", "a" + chr(c) + " b", " " + chr(c)):
+                assert sum(counter.parts(text)) == len(library(text)), hex(c)
+
+
+def test_joins_widen_until_both_sides_agree(vocabulary, library):
+    codec, ends = ChunkCodec(vocabulary), "alpha beta gamma delta " * 20
+    # a unit longer than the first window, a special string, a run of blanks and a word over the join, and no cut at all
+    for left, right in (("x" * 40, "y" * 40), ("<|endof", "text|>"), ("  ", "   "), ("word", "s")):
+        left, right = ends + left, right + " " + ends
+        assert codec.joined(left, codec.ids(left), right, codec.ids(right)).tolist() == library(left + right)
+    assert (codec.joins, codec.merged) == (4, 0) and codec.windows >= 4
+    assert codec.joined("日本" * 30, None, "語" * 30, codec.ids("語" * 30)).tolist() == library("日本" * 30 + "語" * 30) and codec.merged == 1
+    codec = ChunkCodec(vocabulary)
+    rng = random.Random(11)
+    for letters in ("x", "ab", "é."):
+        text = " ".join("".join(rng.choices(letters, k=rng.randint(1, 600))) for _ in range(200))
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == library(text)
+    assert codec.windows > codec.joins - codec.merged > 0  # some joins agreed only in a wider window
+
+
+def test_copies_are_encoded_once(vocabulary, sentence):
+    codec, text = ChunkCodec(vocabulary), sentence("en", 2000, 1)
+    codec.encode(text)
+    first = codec.encoded
+    codec.encode("another beginning " + text)
+    assert codec.encoded - first <= 2 and codec.reused >= first - 2
 
 
 def test_round_trip_and_counts(spark, vocabulary, library):
@@ -72,11 +108,13 @@ def test_pieces_and_bounds():
     assert dual_feasible_bound(np.bincount([34] * 5, minlength=101), 100) == 3
 
 
-@pytest.mark.parametrize("per_partition", [250_000, 20])
-def test_packing(spark, vocabulary, library, sentence, per_partition):
-    rows = [(i, t) for i, t in enumerate(EDGES)] + [(1000 + k, sentence("en", 5 + 11 * k % 900, k)) for k in range(60)] + [(3, "again"), (3, "again"), (None, "no id"), (None, "no id")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = pack_documents(docs, vocabulary, 2048, per_partition).collect()
+@pytest.mark.parametrize("most, least", [(250_000, 40), (20, 5)])
+def test_packing(spark, vocabulary, library, sentence, most, least):
+    rows = [(i, t) for i, t in enumerate(EDGES)] + [(1000 + k, sentence("en", 5 + 11 * k % 900, k)) for k in range(60)] + [(3, "again"), (3, "again"), (None, "no id"), (None, "no id"), (77, " " * 1_000_000)]
+    docs, rounds = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "doc_id long, text string, piece string, sequence_id string"), []
+    out = pack_documents(docs, vocabulary, 2048, most, least, rounds=rounds).collect()
+    # several partitions at first, then certified or exchanged until one is left
+    assert rounds[0]["partitions"] > 1 and rounds[-1]["partitions"] == 1 and all(r["bins"] >= r["bound"] for r in rounds)
     wanted = {}
     for i, t in rows:
         ids = np.array([*library(t), 0], "<u4")
