@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters handled at once; numpy's temporaries are some tens of bytes for each.
 SLICE_CHARS = 1 << 20
@@ -46,6 +47,13 @@ def mixed(h: np.ndarray, salt: int) -> np.ndarray:
     return h
 
 
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer over uint64 hashes."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def gram_hashes(points: np.ndarray, orders: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
     """(n, rolling uint32 hash of the n-gram that starts at each position); grams that run over a text's end are the caller's to drop."""
     top, h = max(orders), points.astype(np.uint32) * np.uint32(0x9E3779B1)
@@ -118,3 +126,17 @@ def list_matrix(column, width: int, dtype) -> np.ndarray:
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks)
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(dtype, copy=False)
+
+
+def list_rows(column) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By width: places and values, as a matrix of doubles, of the lists of numbers that are neither null nor empty. A null number reads as NaN."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = pc.fill_null(column.flatten().cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(lengths) - lengths
+    found = {}
+    for width in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.flatnonzero(lengths == width)
+        found[width] = rows, (values.reshape(-1, width) if len(rows) * width == len(values) else values[starts[rows, None] + np.arange(width)])
+    return found

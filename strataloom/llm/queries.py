@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chunked_bpe import op4_bpe_round_trip
+from .embedding_dedup import ORACLE as DEDUP_SQL
 from .embedding_dedup import op1_embedding_dedup
 from .heap_counts import op8_token_counts
 from .language_filter import op10_language_id
@@ -28,4 +29,4 @@ QUERIES = {
 }
 
 #: Most of these cannot be told in SQL: they are learned, tokenized, hashed or packed. Their tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op5_exact_topk": TOPK_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": DEDUP_SQL, "op5_exact_topk": TOPK_SQL}

@@ -81,6 +81,32 @@ def test_embedding_dedup_in_blocks(spark, monkeypatch):
     assert [r.n_links for r in got] == close.sum(1).tolist()
 
 
+def test_copies_labels_and_repeated_ids(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v, w = rng.standard_normal(8), rng.standard_normal(8)
+    near = v + 0.05 * rng.standard_normal(8)
+    # labels of any type are compared as they are; copies are counted without being compared
+    rows = [(i, v.tolist(), 1.2) for i in range(10, 60)] + [(1, near.tolist(), 1.2), (2, v.tolist(), 1.7), (3, (2 * v).tolist(), 1.2)] + [(70, w.tolist(), 1.2), (70, v.tolist(), 1.2), (70, w.tolist(), 1.7)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double")).collect())
+    assert got[0] == (1, 52, 1, True) and got[1] == (2, 0, 2, True) and got[2] == (3, 52, 1, False)
+    assert all((n, c, k) == (52, 1, False) for i, n, c, k in got if 10 <= i < 60)
+    assert [g[1:] for g in got if g[0] == 70] == [(0, 1, False), (0, 1, False), (52, 1, False)]
+
+
+def test_bucket_of_wide_vectors_stays_small():
+    import tracemalloc
+
+    from strataloom.llm.embedding_dedup import bucket_links
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal(768) + rng.standard_normal((1024, 768)) * 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tracemalloc.start()
+    links, root = bucket_links(x, np.zeros((1024, 4), np.uint32), np.ones(1024, np.int64), 0, None, 0.98)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20 and (links == 1023).all() and (root == 0).all()
+    tracemalloc.stop()
+
+
 def test_exact_topk(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((400, 16)).astype(np.float32)
@@ -98,6 +124,30 @@ def test_exact_topk(spark):
     assert got[1400] == [(1, 1500, 4 * 1024 * 2048)] and set(got) == {*range(0, 400, 20), 1400, 1500}
     none = rows.filter("false")
     assert top_k_exact(none, none, 5).count() == 0
+    # whole numbers beyond doubles, ties among repeated ids, and what overflows when scaled
+    big = spark.createDataFrame([(100, [2.0**40, 1.0]), (1, [2.0**40, 3.0]), (2, [2.0**40, 2.0]), (3, [1.7e308, 1.0]), (2, [2.0**40, 2.0])], "vec_id long, embedding array<double>")
+    found = [(r["rank"], r.vec_id, r.score) for r in top_k_exact(big, big.filter("vec_id = 100"), 5, scale=2.0).orderBy("rank", "vec_id").collect()]
+    assert [f[1:] for f in found] == [(1, 2**63 - 1), (2, 2**63 - 1), (2, 2**63 - 1)]
+
+
+def test_bounds_prune_and_hold():
+    from strataloom.llm.segment_topk import TopK, levels, statistics
+
+    rng = np.random.default_rng(1)
+    spread = np.floor(rng.standard_normal((3000, 64)) * 128)
+    centres = rng.standard_normal((60, 64)) * 128
+    clustered = np.floor(centres[rng.integers(0, 60, 3000)] + rng.standard_normal((3000, 64)) * 16)
+    for x, least in ((spread, 0.7), (clustered, 0.95)):
+        for n in levels(64):
+            assert (statistics(x[:50], n) @ statistics(x, n).T + 1e-6 >= x[:50] @ x.T).all()
+        top = TopK(np.arange(0, 3000, 60), x[::60], 10)
+        for a in range(0, 3000, 500):
+            top.add(np.arange(a, a + 500), x[a : a + 500])
+        assert top.pairs == 50 * 2999 and top.exact < (1 - least) * top.pairs
+        for q, best in zip(top.ids.tolist(), top.best):
+            score = x @ x[q]
+            assert best == sorted((-int(score[i]), i) for i in range(3000) if i != q)[:10]
+    assert levels(3) == [1, 2] and levels(1) == [1]
 
 
 def shingles(text):
@@ -180,9 +230,10 @@ def test_order_matters():
 
 
 def test_tables_follow_the_rows():
-    assert plan_tables(500, 0.98) == (28, 16) and plan_tables(8192, 0.98)[0] == 28
+    assert plan_tables(500, 0.98) == plan_tables(2048, 0.98) == (22, 16)
     tables, signs = plan_tables(10**8, 0.98)
-    assert signs == 30 and (1 - (1 - np.arccos(0.98) / np.pi) ** signs) ** tables <= 7e-6
+    assert signs == 32 and (1 - (1 - np.arccos(0.98) / np.pi) ** signs) ** tables <= 1e-4
+    assert plan_tables(1 << 60, 0.98)[1] == 48
     assert plan_tables(0, 1.0) == (1, 16)
 
 

@@ -20,11 +20,13 @@ DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="driver tables are not here")
 
 
-def test_topk_equals_sql(spark):
+@pytest.mark.parametrize("name", ["op1_embedding_dedup", "op5_exact_topk"])
+def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{DATA}/embeddings.parquet')")
-    expected = sorted(con.sql(f"SELECT query_id, rank, vec_id, score FROM ({queries.ORACLE_SQL['op5_exact_topk']})").fetchall())
-    assert sorted(tuple(r) for r in queries.QUERIES["op5_exact_topk"](spark, str(DATA)).collect()) == expected
+    got = queries.QUERIES[name](spark, str(DATA))
+    expected = sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall())
+    assert sorted(tuple(r) for r in got.collect()) == expected
 
 
 def test_pipeline_equals_its_stages_one_by_one(spark, vocabulary):
