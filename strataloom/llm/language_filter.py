@@ -2,7 +2,8 @@
 
 Each slot of a filter is a word with one bit for each language. A lookup ANDs the words of a gram's k slots, which
 returns all languages that contain the gram at once. A language's score is the count of grams that carry its bit,
-corrected by the rate at which its bit is set in all k slots by chance.
+corrected by the rate at which its bit is set in all k slots by chance. Texts with hardly a known 4-gram are judged by
+a second filter of grams of one to three characters as well.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .labelled import held_out, language_sample
 from .workspace import extended
 
 UNKNOWN = "und"
+#: A text whose best language has fewer hits than this is judged by shorter grams too.
+FEW = 5
 
 
 @dataclass
@@ -33,6 +36,7 @@ class LanguageFilters:
     salts: tuple[int, ...]
     words: list[np.ndarray] = field(default_factory=list)  # for each 64 languages, one word a slot
     chance: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    short: LanguageFilters | None = None
 
     @classmethod
     def fit(cls, texts: list[str], langs: list[str], orders: tuple[int, ...] = (4,), slots: int = 1 << 20, hashes: int = 2, least_share: float = 0.02) -> LanguageFilters:
@@ -52,6 +56,8 @@ class LanguageFilters:
                 model.words[code // 64][mixed(grams, salt) & np.uint32(slots - 1)] |= np.uint64(1 << (code % 64))
         fill = [np.count_nonzero(model.words[c // 64] & np.uint64(1 << (c % 64))) / slots for c in range(len(known))]
         model.chance = np.array(fill) ** hashes
+        if min(orders) > 3 and known:
+            model.short = cls.fit(texts, langs, (1, 2, 3), slots, hashes, least_share)
         return model
 
     def hits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,48 +79,49 @@ class LanguageFilters:
         corrected = np.maximum(found - self.chance[:, None] * total, 0) / (1 - self.chance[:, None]) if len(self.languages) else found
         return total, corrected
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text. The score is the winner's share of the two largest counts, 0.5 to 1; 0 with no letter or no hit. A tie goes to the first name."""
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and number of grams of each text. The score is the winner's share of the two largest counts, 0.5 to 1; 0 with no letter or no hit. A tie goes to the first name."""
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        _, counts = self.hits(texts)
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)  # nothing was looked up
+        grams, counts = self.hits(texts)
+        few = np.flatnonzero(counts.max(axis=0) < FEW)
+        if self.short and len(few):
+            counts[:, few] += self.short.hits([texts[k] for k in few.tolist()])[1]
         best = counts.argmax(axis=0)
         top = counts[best, np.arange(len(texts))]
         second = np.partition(counts, -2, axis=0)[-2] if len(self.languages) > 1 else np.zeros(len(texts))
         score = np.where(top > 0, top / np.maximum(top + second, 1e-12), 0.0)
         known = [any(map(str.isalpha, t)) for t in texts]
-        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known)], np.where(known, score, 0.0)
+        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known)], np.where(known, score, 0.0), grams.astype(np.int64)
 
 
-def detect_languages(docs: DataFrame, per_language: int = 1500, model: LanguageFilters | None = None, learn_from: DataFrame | None = None) -> DataFrame:
-    """docs with lang_pred and score, whole texts, no shuffle.
+def detect_languages(docs: DataFrame, per_language: int = 1500, model: LanguageFilters | None = None, learn_from: DataFrame | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "n_grams")) -> DataFrame:
+    """docs with lang_pred, score and n_grams (grams looked up, as many as the text has), or other names; whole texts, no shuffle.
 
     The filters are learned from at most `per_language` rows of each language of `learn_from` (docs by default) that
     are not held out, by text and lang alone. A null or letterless text gets `und` and 0, as does every text when
-    there is nothing to learn from. Repeated rows are each answered; extra columns are kept, and columns of docs
-    named lang_pred or score are replaced.
+    there is nothing to learn from. Repeated rows are each answered; texts of any length are read whole, a slice of a
+    batch at a time; extra columns are kept, and columns of docs with the three names are replaced.
     """
     spark = ship(docs.sparkSession)
     model = model or LanguageFilters.fit(*language_sample(docs if learn_from is None else learn_from, per_language))
     shared = spark.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in names]
     base = docs.select(*kept)
-    schema = extended(base, ("lang_pred", "string"), ("score", "double"))
+    schema = extended(base, *zip(names, ("string", "double", "long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = [], []
-            for _, texts in text_slices(batch.column("text")):
-                a, b = shared.value.predict(texts)
-                langs += a
-                scores.append(b)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*kept, "lang_pred", "score"])
+            parts = [shared.value.predict(texts) for _, texts in text_slices(batch.column("text"))]
+            langs = [x for p in parts for x in p[0]]
+            scores, grams = (np.concatenate([p[k] for p in parts]) if parts else [] for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(grams, pa.int64())], names=[*kept, *names])
 
     return base.mapInArrow(run, schema)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
-    """Predicted language of every whole text of documents."""
+    """Predicted language of every whole text of documents. A null doc_id is held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     out = detect_languages(docs.select("doc_id", "text"), learn_from=docs)
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

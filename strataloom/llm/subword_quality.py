@@ -69,7 +69,7 @@ class SubwordClassifier:
     bias: float
 
     @classmethod
-    def fit(cls, texts: list[str], y: list[int], orders: tuple[int, ...] = (3, 4), buckets: int = 1 << 18, width: int = 8, epochs: int = 8, least_steps: int = 8000, rate: float = 0.5, seed: int = 7) -> SubwordClassifier:
+    def fit(cls, texts: list[str], y: list[int], orders: tuple[int, ...] = (3, 4), buckets: int = 1 << 18, width: int = 8, epochs: int = 4, least_steps: int = 4000, rate: float = 0.5, seed: int = 7) -> SubwordClassifier:
         """Stochastic gradient descent, a text at a time, over vectors of the features' mean; the rate falls linearly to 0. Few texts get more epochs, for `least_steps` in all."""
         if len(set(y)) < 2:
             share = float(np.mean(y)) if y else 0.5
@@ -129,13 +129,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Su
     return SubwordClassifier.fit(*labelled_sample(docs, labels, "quality", per_class))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> DataFrame:
-    """docs with `quality_score`. With no label of one class the score is the same for all: that class's smoothed share (0.5 without labels). Repeated rows are each scored."""
-    return score_texts(docs, fit_quality(docs, labels, per_class), "quality_score")
+def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2500, column: str = "quality_score") -> DataFrame:
+    """docs with `column`, the quality of every whole text, 0 to 1; no shuffle.
+
+    With no label of one class the score is the same for all: that class's smoothed share (0.5 without labels). Null
+    and empty texts have the model's bias. Texts of any length are scored whole, a slice of a batch at a time. Repeated
+    rows and ties are each scored; an empty table gives an empty result; extra columns stay, one named `column` is
+    replaced.
+    """
+    return score_texts(docs, fit_quality(docs, labels, per_class), column)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
-    """Quality score of every whole text of documents."""
+    """Quality score of every whole text of documents. A null doc_id is held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
     return out.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))

@@ -104,7 +104,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000) ->
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
-    """Toxicity score of every whole text of documents."""
+    """Toxicity score of every whole text of documents. A null doc_id is held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
     return out.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))

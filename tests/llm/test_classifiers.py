@@ -97,4 +97,94 @@ def test_many_languages_use_more_words_of_bits():
     model = LanguageFilters.fit(texts, [f"l{k:03d}" for k in range(70)])
     assert len(model.words) == 2
     assert model.predict(texts)[0] == [f"l{k:03d}" for k in range(70)]
-    assert LanguageFilters.fit([], []).predict(["x"]) == (["und"], pytest.approx([0.0]))
+    assert LanguageFilters.fit([], []).predict(["x"]) == (["und"], pytest.approx([0.0]), pytest.approx([0]))
+
+
+def grams(text, n):
+    """Of a lower-cased text between two blanks."""
+    padded = f" {text.lower()} "
+    return [padded[k : k + n] for k in range(len(padded) - n + 1)]
+
+
+def test_languages_against_sets_of_grams(sentence):
+    """Filters return every language that holds a gram, and counts that differ from exact sets by chance only."""
+    data = [(sentence(lang, 30, i), lang) for i, lang in enumerate(["en", "de", "fr"] * 30)]
+    model = LanguageFilters.fit(*zip(*data))
+    exact = {}
+    for lang in model.languages:
+        own = [set(grams(t, 4)) for t, x in data if x == lang]
+        exact[lang] = {g for g in set().union(*own) if sum(g in o for o in own) >= max(2, 0.02 * len(own))}
+    texts = [sentence(lang, 12, i + 500) for i, lang in enumerate(["en", "de", "fr"] * 10)] + ["", "x", "the ing", "été 🙂"]
+    total, counts = model.hits(texts)
+    for k, t in enumerate(texts):
+        plain = [sum(g in exact[lang] for g in grams(t, 4)) for lang in model.languages]
+        assert total[k] == max(len(t) - 1, 0) and np.abs(counts[:, k] - plain).max() <= 1
+        if max(plain) > 20:
+            assert model.predict([t])[0] == [model.languages[int(np.argmax(plain))]]
+
+
+def test_short_texts_use_shorter_grams(sentence):
+    data = [(sentence(lang, 30, i), lang) for i, lang in enumerate(["en", "de", "fr"] * 40)]
+    model = LanguageFilters.fit(*zip(*data))
+    langs, scores, _ = model.predict(["sch", "eau", "!!", ""])
+    assert langs == ["de", "fr", "und", "und"] and (scores[:2] > 0.5).all() and scores[2:].tolist() == [0, 0]
+
+
+def mixed(h, salt):
+    h ^= salt
+    h ^= h >> 16
+    h = h * 0x85EBCA6B & 0xFFFFFFFF
+    h ^= h >> 13
+    h = h * 0xC2B2AE35 & 0xFFFFFFFF
+    return h ^ h >> 16
+
+
+def test_toxicity_against_plain_python(rows):
+    """Scores by plain Python sets of n-grams and one dictionary of weights."""
+    model = NaiveBayesLinear.fit([r[1] for r in rows[:120]], [r[3] for r in rows[:120]])
+
+    def slot(gram):
+        h = 0
+        for k, c in enumerate(gram):
+            h = ((h * 0x01000193 if k else 0) + ord(c) * 0x9E3779B1) & 0xFFFFFFFF
+        return mixed(h, len(gram) * 0x2545F491 & 0xFFFFFFFF) & (model.buckets - 1)
+
+    for text in [r[1] for r in rows[120:150]] + ["", "a", "ab", "you " * 50]:
+        found = {slot(g) for n in (3, 4, 5) for g in grams(text, n)}
+        z = model.bias + sum(float(model.weight[s]) for s in found)
+        assert model.score([text])[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+    # log-count ratios: a gram of toxic rows only is among the features, with a weight that speaks for label 1
+    assert model.weight[slot("vile")] > 0 and np.count_nonzero(model.weight) > 10
+
+
+def test_quality_features_against_plain_python(sentence):
+    """Equal features fall together and different ones apart: counts of strings are counts of buckets."""
+    from collections import Counter
+
+    texts = [sentence("en", 40, 1) + " again again again", "", "a", "ab abc", "Été été  été\nx", "one one two"]
+    for text in texts:
+        words = text.split()
+        plain = Counter(("w", w) for w in words)
+        plain.update(("twice",) if a == b else ("p", a, b) for a, b in zip(words, words[1:]))
+        padded = f" {text} "
+        for n in (3, 4):
+            plain.update((n, g) for g in (padded[k : k + n] for k in range(len(padded) - n + 1)) if not any(c.isspace() for c in g[1:-1]))
+        got = Counter(features([text], (3, 4), 1 << 31)[0].tolist())
+        assert sorted(got.values()) == sorted(plain.values())
+    model = SubwordClassifier.fit(texts * 3, [1, 0, 1, 1, 1, 0] * 3, buckets=1 << 12)
+    for text in texts:
+        slots = features([text], (3, 4), 1 << 12)[0].tolist()
+        z = sum(float(model.folded[s]) for s in slots) / max(len(slots), 1) + model.bias
+        assert model.score([text])[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_ties_repeats_and_empty_tables(spark, rows):
+    docs, labels = tables(spark, rows)
+    twice = docs.union(docs)
+    for score, name in ((score_toxicity, "toxicity"), (score_quality, "quality_score")):
+        got = {}
+        for r in score(twice, labels).collect():
+            got.setdefault(r.text, set()).add(r[name])
+        assert all(len(s) == 1 for s in got.values())  # equal texts have one score, null and empty ones too
+        assert got[None] == got[""]
+        assert score(docs.filter("false"), labels).count() == 0

@@ -42,8 +42,8 @@ def test_pipeline_equals_its_stages_one_by_one(spark, vocabulary):
     model = LanguageFilters.fit(*language_sample(good, 1500))
     named = []
     for i in kept:
-        lang, score = model.predict([rows[i].text or ""])
-        if lang[0] != "und" and score[0] > corpus_pipeline.LEAST_LANGUAGE:
+        lang, score, grams = model.predict([rows[i].text or ""])
+        if any(map(str.isalpha, rows[i].text or "")) and (score[0] > corpus_pipeline.LEAST_LANGUAGE or grams[0] < corpus_pipeline.LEAST_GRAMS):
             named.append(i)
     classes = brute([rows[i].text for i in named])
     alone = [named[k] for k in range(len(named)) if classes[k] == k]
@@ -56,7 +56,30 @@ def test_pipeline_equals_its_stages_one_by_one(spark, vocabulary):
     used = {}
     for r in out:
         used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
-    assert max(used.values()) <= 2048 and len(used) == dual_feasible_bound(np.bincount([r.length for r in out], minlength=2049), 2048)
+    bound = dual_feasible_bound(np.bincount([r.length for r in out], minlength=2049), 2048)
+    assert max(used.values()) <= 2048 and bound <= len(used) <= bound + 1
+
+
+def test_stages_at_the_edges(spark, tmp_path, sentence):
+    """Nulls, empty and long texts, repeated rows, clashing names and empty tables; without languages or labels nothing goes for lack of them."""
+    from .conftest import EDGES
+
+    data = [(i, sentence("en", 60, i), "en") for i in range(30)] + [(100 + k, t, None) for k, t in enumerate(EDGES)] + [(0, sentence("en", 60, 0), "en"), (None, "no id here at all", None)]
+    names = ["score", "lang_pred", "quality_score", "lang_score", "row_uid", "class_row", "uid", "piece"]
+    docs = spark.createDataFrame([(*r, *names) for r in data], "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in names))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    at = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, at, str(tmp_path))
+        assert out.schema.simpleString() == docs.schema.simpleString()
+        kept = out.collect()
+        assert kept and all([r[c] for c in names] == names for r in kept)
+        at = out
+    assert {r.doc_id for r in kept} >= {*range(30), None} and len(kept) == len({r.text for r in kept})
+    letters = sum(any(map(str.isalpha, t or "")) for _, t, lang in data if lang is None)
+    assert corpus_pipeline.language_stage(spark, docs.filter("lang is null"), str(tmp_path)).count() == letters
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_every_query_runs(spark):
