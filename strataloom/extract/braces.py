@@ -144,6 +144,7 @@ def go(content: str) -> dict:
         for s in re.finditer(r"(?:([\w.]+)[ \t]+)?\"([^\"]+)\"", body):
             c.out["imports"].append((s[2], [], s[1], False, c.line(at + s.start(2))))
     _block(c, r"^type\s+(?P<name>\w+)(?:\[[^\]]*\])?\s+(?P<what>\w+)", lambda m: {"struct": "struct", "interface": "interface"}.get(m["what"], "unknown"))
+    c.heads = c.heads | {m.start(1) for m in re.finditer(r"^[ \t]*(import|const|var|type)\s*\(", c.code, re.M)}  # groups, not calls
     for m in re.finditer(r"^func\s+(?:\(\s*(?:\w+\s+)?\*?(?P<owner>\w+)(?:\[[^\]]*\])?\s*\)\s*)?(?P<name>\w+)\s*[\[(]", c.code, re.M):
         _, end = c.body(m.end())
         c.heads = c.heads | {m.start("name")}

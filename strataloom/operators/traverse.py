@@ -22,6 +22,8 @@ def hops(edges: DataFrame, start: DataFrame, depth: int | None, reverse: bool =
     here, there = ("tgt", "src") if reverse else ("src", "tgt")
     steps = edges.select(F.col(here).alias("at"), F.col(there).alias("id")).distinct()
     first = start.select(F.col(start.columns[0]).alias("id")).distinct()
+    if depth is None or depth > 1:
+        steps = settle(steps)  # planned and computed once, not once a level
     seen, level = first.withColumn("depth", F.lit(0)), first
     for d in count(1) if depth is None else range(1, depth + 1):
         level = steps.join(level.withColumnRenamed("id", "at"), "at").select("id").distinct().join(seen.select("id"), "id", "left_anti")
@@ -50,7 +52,7 @@ def neighbours(edges: DataFrame, start: DataFrame, rel_type: str, outgoing: bool
 
 def shortest_path(edges: DataFrame, source, target) -> DataFrame:
     """One row with `path`, an array of ids, or no row. Of equally short paths it is the least, id by id. A node reaches itself by [source]."""
-    spark, steps = edges.sparkSession, edges.select("src", "tgt").distinct()
+    spark, steps = edges.sparkSession, settle(edges.select("src", "tgt").distinct())
     kind = dict(edges.dtypes)["src"]
     level = spark.range(1).select(F.lit(source).cast(kind).alias("id"), F.array(F.lit(source).cast(kind)).alias("path"))
     seen = level.select("id")

@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text, vectors
+from ..lineage import settle
 from ..operators import chunking, knapsack, render, resolve, search, terms, traverse
 from ..operators.centrality import katz
 from ..sources import store
-from ..sources.files import changed, ignored
+from ..sources.files import changed, finish, ignored
 from ..sources.languages import REGISTRY
 from . import fixtures as fx
 from .fixtures import CALLS, EDGES, HUB, IMPORTS, SYMBOLS, table
@@ -108,8 +109,9 @@ t AS (SELECT vec_id, s, CAST(row_number() OVER (ORDER BY s DESC, vec_id) AS INTE
 SELECT vec_id, round(s, 6) AS score, rank FROM t WHERE rank <= 10""")
 def two_stage_rerank(spark, d):
     wanted = table(spark, d, "benchmark").filter("item_id = 0").first()["text"]
-    hits = _hits(spark, d, 20).join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
-    return search.rerank(hits, search.token_overlap(wanted, "text"), 10, "vec_id").selectExpr(*_OUT)
+    rows = table(spark, d, "embeddings").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
+    q = search.SearchQuery(query=wanted, top_k=10)
+    return search.two_stage(rows, fx.vector_of(spark, d, 0), q, search.token_overlap(wanted, "text"), key="vec_id").filter("text is not null").selectExpr(*_OUT)
 
 
 _TWO = f"""WITH {_VEC}, q2 AS (SELECT v FROM e WHERE vec_id = 1),
@@ -220,25 +222,30 @@ _WIDEST = f"WITH RECURSIVE {EDGES}, {HUB}, r AS (SELECT id, 1.0::DOUBLE AS conf
 
 @query(_WIDEST + " SELECT id, conf FROM best")
 def impact_set(spark, d):
-    return traverse.widest_paths(fx.edges(spark, d), fx.hub(spark, d))
+    return _impact(spark, d)["callers"].select(F.col("id").cast("long").alias("id"), "conf")
 
 
 @query(_WIDEST + " SELECT count(*) FILTER (conf >= 0.85) AS certain, count(*) FILTER (conf >= 0.5 AND conf < 0.85) AS probable, count(*) FILTER (conf < 0.5) AS speculative FROM best")
 def impact_breakdown(spark, d):
-    return traverse.confidence_breakdown(traverse.widest_paths(fx.edges(spark, d), fx.hub(spark, d)))
+    return _impact(spark, d)["breakdown"]
 
 
 @query(_WIDEST + " SELECT DISTINCT p_brand AS file FROM part JOIN best ON best.id = p_partkey")
 def affected_files(spark, d):
-    reached = traverse.widest_paths(fx.edges(spark, d), fx.hub(spark, d))
-    return table(spark, d, "part").join(reached, F.col("p_partkey") == F.col("id"), "left_semi").select(F.col("p_brand").alias("file")).distinct()
+    return _impact(spark, d)["affected_files"].select(F.col("path").alias("file"))
 
 
 @query(f"WITH {EDGES} SELECT 'edges' AS what, CAST(conf AS VARCHAR) AS value, count(*) AS n FROM (SELECT CAST(conf * 100 AS INTEGER) AS conf FROM edges) GROUP BY 2 UNION ALL SELECT 'kind', p_type, count(*) FROM part GROUP BY 2 UNION ALL SELECT 'file', p_brand, count(*) FROM part GROUP BY 2")
 def graph_stats(spark, d):
     part = table(spark, d, "part")
-    a = fx.edges(spark, d).groupBy(F.round(F.col("conf") * 100).cast("int").cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit("edges").alias("what"), "value", "n")
-    return a.union(part.groupBy("p_type").agg(F.count("*")).select(F.lit("kind"), "*")).union(part.groupBy("p_brand").agg(F.count("*")).select(F.lit("file"), "*"))
+    edges = fx.edges(spark, d).select(F.round(F.col("conf") * 100).cast("int").cast("string").alias("rel_type"))
+    row = store.graph_stats({"files": part.select(F.col("p_brand").alias("language")), "symbols": part.select(F.col("p_type").alias("kind")), "directories": part.limit(0), "edges": edges})
+
+    def counts(what, column):
+        return F.transform(F.map_entries(column), lambda e: F.struct(F.lit(what).alias("what"), e["key"].alias("value"), e["value"].alias("n")))
+
+    counted = F.concat(counts("edges", "edges_by_type"), counts("kind", "symbols_by_kind"), counts("file", "files_by_language"))
+    return row.select(F.explode(counted).alias("x")).select("x.*")
 
 
 def _graph(spark, d):
@@ -246,10 +253,16 @@ def _graph(spark, d):
     part = table(spark, d, "part")
     symbols = part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.concat_ws("::", "p_brand", "p_name").alias("qualified_name"), F.lower("p_type").alias("kind"), F.col("p_brand").alias("file_id"), F.col("p_brand").alias("file_path"), F.col("p_size").alias("start_line"), (F.col("p_size") + 9).alias("end_line"), F.lit(None).cast("array<string>").alias("decorators"))
     files = part.select(F.col("p_brand").alias("id"), F.col("p_brand").alias("path"), F.lit("python").alias("language")).distinct()
-    calls = fx.edges(spark, d).select(F.lit("CALLS").alias("rel_type"), F.col("src").cast("string").alias("source_id"), F.col("tgt").cast("string").alias("target_id"))
+    calls = fx.edges(spark, d).select(F.lit("CALLS").alias("rel_type"), F.col("src").cast("string").alias("source_id"), F.col("tgt").cast("string").alias("target_id"), F.col("conf").alias("confidence"))
     return symbols, files, calls
 
 
+def _impact(spark, d):
+    symbols, files, calls = _graph(spark, d)
+    calls = settle(calls)  # every part of the answer reads the edges; they are made once
+    return traverse.impact_set(calls, symbols, files, str(fx.hub(spark, d).first()["id"]))
+
+
 _AROUND = f"""WITH {EDGES}, {HUB}, hs AS (SELECT p.* FROM part p JOIN hub ON hub.id = p.p_partkey),
 up AS (SELECT list_sort(list(struct_pack(name := p_name, kind := lower(p_type), q := p_brand || '::' || p_name))) AS l FROM part WHERE p_partkey IN (SELECT src FROM edges WHERE tgt = (SELECT id FROM hub))),
 dn AS (SELECT list_sort(list(struct_pack(name := p_name, kind := lower(p_type), q := p_brand || '::' || p_name))) AS l FROM part WHERE p_partkey IN (SELECT tgt FROM edges WHERE src = (SELECT id FROM hub))) """
@@ -440,7 +453,9 @@ def delete_by_file(spark, d):
 
 @query("SELECT sha256(text) AS sha, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
 def dedupe_sha256(spark, d):
-    return table(spark, d, "documents").groupBy(F.sha2(F.encode("text", "UTF-8"), 256).alias("sha")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    # the path tells the document, as the derived columns keep no other column
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("text").alias("language"), F.lit("utf-8").alias("encoding"), F.col("text").alias("content"), F.octet_length("text").alias("size_bytes"))
+    return finish(docs).groupBy(F.col("sha256").alias("sha")).agg(F.min(F.col("path").cast("long")).alias("doc_id"), F.count("*").alias("copies"))
 
 
 @query("SELECT source AS path, doc_id FROM documents n WHERE NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 2 = 0 AND o.source = n.source AND sha256(o.text) = sha256(n.text))")

@@ -20,8 +20,8 @@ log = logging.getLogger(__name__)
 VERSION = "0.1"
 #: Routes that need no token.
 PUBLIC = {"/health", "/ping"}
-#: Rows that one answer holds at most; a service answers with pages, not tables.
-MOST_ROWS = 1000
+#: What answers are ordered by, as far as they have it, so that pages follow each other.
+ORDER = ("rank", "depth", "id", "chunk_id", "src", "path", "file_path", "start_line")
 
 
 class Refused(Exception):
@@ -31,7 +31,23 @@ class Refused(Exception):
 
 
 def listed(df: DataFrame) -> list[dict]:
-    return [json.loads(r) for r in df.drop("embedding").limit(MOST_ROWS).toJSON().collect()]
+    """All rows, in the order of ORDER, a partition at a time."""
+    rows = df.drop("embedding")
+    keys = [c for c in ORDER if c in rows.columns]
+    return [json.loads(r) for r in (rows.orderBy(*keys) if keys else rows).toJSON().toLocalIterator()]
+
+
+def paged(name: str, df: DataFrame, body: dict) -> dict:
+    """Rows under `name`, and how many there are in all. Without `limit` an answer holds every row from `offset` on."""
+    offset, limit = int(body.get("offset", 0)), body.get("limit")
+    if offset < 0 or (limit is not None and int(limit) < 0):
+        raise Refused(422, "offset and limit are not negative")
+    if not offset and limit is None:
+        found = listed(df)
+        return {name: found, "total": len(found)}
+    keys = [c for c in ORDER if c in df.columns] or df.columns[:1]
+    page = df.orderBy(*keys).offset(offset)
+    return {name: listed(page.limit(int(limit)) if limit is not None else page), "total": df.count(), "offset": offset}
 
 
 def search_query(body: dict) -> SearchQuery:
@@ -73,13 +89,15 @@ def routes(engine: Engine, api: ApiSettings) -> dict[tuple[str, str], Callable[[
         return {"query": q.query, "results": results, "total": len(results), "latency_ms": round(1000 * (time.time() - start), 1)}
 
     def impact(body: dict) -> dict:
-        return {k: listed(df) for k, df in engine.impact(wanted(body), float(body.get("min_confidence", 0))).items()}
+        parts = engine.impact(wanted(body), float(body.get("min_confidence", 0)))
+        pages = {k: paged(k, df, body) for k, df in parts.items()}
+        return {k: p[k] for k, p in pages.items()} | {"totals": {k: p["total"] for k, p in pages.items()}}
 
     def cleared(f: Callable[[], None]) -> dict:
         f()
         return {"cleared": True}
 
-    symbols = lambda df: {"symbols": listed(df)}
+    symbols = lambda df, b: paged("symbols", df, b)
     return {
         ("GET", "/health"): lambda b: {"status": "ok", "version": VERSION},
         ("GET", "/ping"): lambda b: {"pong": True},
@@ -93,13 +111,13 @@ def routes(engine: Engine, api: ApiSettings) -> dict[tuple[str, str], Callable[[
         ("POST", "/graph/index"): graph(lambda b: engine.index_graph(folder(b), bool(b.get("clear")))),
         ("GET", "/graph/stats"): graph(lambda b: listed(engine.graph.stats())[0]),
         ("DELETE", "/graph/clear"): graph(lambda b: cleared(engine.graph.clear)),
-        ("POST", "/graph/symbol/search"): graph(lambda b: symbols(engine.find_symbols(b.get("name"), b.get("file_path"), b.get("decorator"), b.get("kind")))),
-        ("POST", "/graph/callers"): graph(lambda b: symbols(engine.callers(wanted(b), int(b.get("depth", 1))))),
-        ("POST", "/graph/callees"): graph(lambda b: symbols(engine.callees(wanted(b), int(b.get("depth", 1))))),
+        ("POST", "/graph/symbol/search"): graph(lambda b: symbols(engine.find_symbols(b.get("name"), b.get("file_path"), b.get("decorator"), b.get("kind")), b)),
+        ("POST", "/graph/callers"): graph(lambda b: symbols(engine.callers(wanted(b), int(b.get("depth", 1))), b)),
+        ("POST", "/graph/callees"): graph(lambda b: symbols(engine.callees(wanted(b), int(b.get("depth", 1))), b)),
         ("POST", "/graph/call-path"): graph(lambda b: {"path": engine.call_path(b["from"], b["to"])}),
-        ("POST", "/graph/import-graph"): graph(lambda b: {"files": listed(engine.import_graph(b["file_id"]))}),
-        ("POST", "/graph/subclasses"): graph(lambda b: symbols(engine.subclasses(wanted(b)))),
-        ("POST", "/graph/superclasses"): graph(lambda b: symbols(engine.superclasses(wanted(b)))),
+        ("POST", "/graph/import-graph"): graph(lambda b: paged("files", engine.import_graph(b["file_id"]), b)),
+        ("POST", "/graph/subclasses"): graph(lambda b: symbols(engine.subclasses(wanted(b)), b)),
+        ("POST", "/graph/superclasses"): graph(lambda b: symbols(engine.superclasses(wanted(b)), b)),
         ("POST", "/graph/context"): graph(lambda b: {"context": listed(engine.context(wanted(b)))[0], "text": engine.context_text(wanted(b))}),
         ("POST", "/graph/impact"): graph(impact),
     }

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from strataloom.plans import catalogue
+from strataloom.plans import catalogue, code_catalogue  # noqa: F401 - the second registers its queries with the first
 
 DATA = Path("/root/testdata/sf0.001")
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -36,6 +36,12 @@ def test_service(spark, tmp_path):
         assert ask(port, "POST", "/search", {"query": "x", "top_k": 0}, key)[0] == 422
         assert ask(port, "POST", "/graph/index", {"path": str(source)}, key)[1]["symbols"] == 2
         assert [s["name"] for s in ask(port, "POST", "/graph/callers", {"name": "inner"}, key)[1]["symbols"]] == ["outer"]
+        whole = ask(port, "POST", "/graph/symbol/search", {}, key)[1]
+        pages = [ask(port, "POST", "/graph/symbol/search", {"offset": k, "limit": 1}, key)[1] for k in range(2)]
+        assert whole["total"] == 2 and [p["total"] for p in pages] == [2, 2] and [p["symbols"][0] for p in pages] == whole["symbols"]
+        assert ask(port, "POST", "/graph/symbol/search", {"offset": -1}, key)[0] == 422
+        impact = ask(port, "POST", "/graph/impact", {"name": "inner"}, key)[1]
+        assert impact["totals"]["callers"] == len(impact["callers"]) == 1
         assert ask(port, "POST", "/graph/callers", {"name": "nobody"}, key)[0] == 404 and ask(port, "POST", "/graph/callers", {}, key)[0] == 422
         assert ask(port, "GET", "/nowhere", None, key)[0] == 404
     finally:
