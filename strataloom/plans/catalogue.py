@@ -275,7 +275,8 @@ def _context(spark, d):
 
 @query(_AROUND + "SELECT CAST(p_partkey AS VARCHAR) AS id, array_to_string([x.name FOR x IN up.l], ',') AS callers, array_to_string([x.name FOR x IN dn.l], ',') AS callees FROM hs, up, dn")
 def symbol_context(spark, d):
-    return _context(spark, d).select("id", *[F.array_join(F.transform(c, lambda x: x["name"]), ",").alias(c) for c in ("callers", "callees")])
+    # a side without anything is null, as DuckDB's list() over no rows is
+    return _context(spark, d).select("id", *[F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda x: x["name"]), ",")).alias(c) for c in ("callers", "callees")])
 
 
 @query(_AROUND + """SELECT concat_ws(chr(10), 'Symbol: ' || p_brand || '::' || p_name || ' [' || lower(p_type) || ']', 'File: ' || p_brand || ' (lines ' || p_size || '–' || (p_size + 9) || ')',
