@@ -125,14 +125,27 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> D
 
 
 def resolve_bases(bases: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """(child_id, parent_id): a base in the same file, else the first in an imported file, else the first anywhere. bases: child_id, file_id, base."""
-    names = symbols.select(F.col("file_id").alias("far_file"), F.col("name").alias("base"), F.col("id").alias("parent_id"), F.col("seq").alias("far_seq"))
-    linked = imports.select("file_id", F.col("target").alias("far_file")).distinct().withColumn("linked", F.lit(0))
-    found = bases.join(names, "base").join(linked, ["file_id", "far_file"], "left")
-    near = F.when(F.col("file_id") == F.col("far_file"), 0).otherwise(F.coalesce(F.col("linked") + 1, F.lit(2)))
+    """(child_id, parent_id): a base in the same file, else the first in an imported file, else the first anywhere. bases: child_id, file_id, base.
+
+    A child is no base of its own, so two symbols of a name are enough of a file, of the imported files and of all files.
+    They are found before the bases are joined: a name of many symbols does not meet all of its uses.
+    """
+    names = symbols.filter("id is not null").groupBy(F.col("file_id").alias("far_file"), F.col("name").alias("base"), F.col("id").alias("parent_id")).agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+    def two(rows: DataFrame, by: list[str], near: int, at: Column) -> DataFrame:
+        rows = rows.withColumn("rank", F.struct(F.lit(near).alias("near"), at.alias("at"), "parent_id"))
+        return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("rank"))).filter("_n <= 2").drop("_n")
+
     # in the same file the last definition counts, elsewhere the first
-    order = F.struct(near, F.when(F.col("file_id") == F.col("far_file"), -F.col("far_seq")).otherwise(F.col("far_seq")))
-    return found.filter("child_id <> parent_id").groupBy("child_id", "base").agg(F.min_by("parent_id", order).alias("parent_id")).select("child_id", "parent_id").distinct()
+    own = two(names, ["far_file", "base"], 0, -F.col("last")).select(F.col("far_file").alias("file_id"), "base", "rank")
+    heads = two(names, ["far_file", "base"], 1, F.col("first"))
+    linked = imports.select("file_id", F.col("target").alias("far_file")).filter("file_id <> far_file").distinct()
+    imported = bases.select("file_id", "base").distinct().join(linked, "file_id").join(heads.drop("rank"), ["far_file", "base"])
+    imported = two(imported, ["file_id", "base"], 1, F.col("first")).select("file_id", "base", "rank")
+    anywhere = two(heads, ["base"], 2, F.col("first")).select("base", "rank")
+    found = bases.join(own.unionByName(imported), ["file_id", "base"]).select("child_id", "base", "rank").unionByName(bases.join(anywhere, "base").select("child_id", "base", "rank"))
+    best = found.filter("child_id <> rank.parent_id").groupBy("child_id", "base").agg(F.min("rank").alias("rank"))
+    return best.select("child_id", F.col("rank.parent_id").alias("parent_id")).distinct()
 
 
 def resolve_injections(wanted: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
