@@ -152,7 +152,10 @@ def resolve_injections(wanted: DataFrame, symbols: DataFrame, imports: DataFrame
     """(class_id, injected_id, field_name, type_name): one imported match, or of several the first class, else a name unique everywhere. wanted: class_id, file_id, type_name, field_name."""
     names = symbols.select(F.col("file_id").alias("far_file"), F.col("name").alias("type_name"), F.col("id").alias("far_id"), F.col("kind").alias("far_kind"), F.col("seq").alias("far_seq"))
     linked = imports.select("file_id", F.col("target").alias("far_file")).distinct()
-    inside = wanted.join(linked, "file_id").join(names, ["far_file", "type_name"]).groupBy("class_id", "type_name", "field_name").agg(F.min_by("far_id", F.struct(F.col("far_kind") != "class", "far_seq")).alias("imported_id"))
+    # one symbol for each name of a file, then one for each name that a file wants, before the classes are joined
+    heads = names.groupBy("far_file", "type_name").agg(F.min(F.struct((F.col("far_kind") != "class").alias("other"), "far_seq", "far_id")).alias("best"))
+    heads = wanted.select("file_id", "type_name").distinct().join(linked, "file_id").join(heads, ["far_file", "type_name"]).groupBy("file_id", "type_name").agg(F.min("best").alias("best"))
+    inside = wanted.join(heads, ["file_id", "type_name"]).groupBy("class_id", "type_name", "field_name").agg(F.min("best")["far_id"].alias("imported_id"))
     everywhere = names.groupBy("type_name").agg(F.count("*").alias("n"), F.min("far_id").alias("global_id")).filter("n = 1").drop("n")
     rows = wanted.join(inside, ["class_id", "type_name", "field_name"], "left").join(everywhere, "type_name", "left")
     return rows.withColumn("injected_id", F.coalesce("imported_id", "global_id")).filter("injected_id is not null and injected_id <> class_id").select("class_id", "injected_id", "field_name", "type_name")
