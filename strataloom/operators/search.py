@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,13 +59,15 @@ def top_k(rows: DataFrame, query: list[float] | Column, k: int = 10, where: list
 
 #: Queries of a batch that go to the executors at once.
 QUERY_BLOCK = 2048
+#: Queries and rows whose scores a task holds at once.
+TILE = 512, 1024
 
 
 def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
     """(query_id, key, score, rank): the k nearest rows by cosine of every query, itself left out; ties go to the smaller key.
 
     Queries go in blocks of bounded size, each with one scan of the rows and no shuffle of them: a task multiplies its
-    batches by the block and keeps k rows a query.
+    batches by the block, tile by tile, and keeps k rows a query.
     """
     ship(rows.sparkSession)
     base = rows.select(F.col(key).cast("long").alias("id"), vectors.as_double(vector).alias("v")).filter("id is not null and v is not null")
@@ -72,20 +75,20 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, key: str = "chunk_i
     blocks, found = max(1, -(-2 * asked.count() // QUERY_BLOCK)), None
     for b in range(blocks):
         block = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
-        shared = rows.sparkSession.sparkContext.broadcast((np.asarray(block["id"]), unit_rows(block["v"].to_pylist())))
+        shared = rows.sparkSession.sparkContext.broadcast((np.asarray(block["id"]), unit_rows(block["v"])))
 
         def run(batches, shared=shared):
             ids, q = shared.value
             best, who = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
             for batch in batches:
-                for start in range(0, batch.num_rows, 4096):
-                    part = batch.slice(start, 4096)
-                    near = np.asarray(part.column("id"))
-                    score = np.round(q @ unit_rows(part.column("v").to_pylist()).T, 12) if len(ids) else np.zeros((0, len(near)))
-                    score[ids[:, None] == near[None, :]] = -np.inf
-                    score, names = np.hstack([best, score]), np.hstack([who, np.broadcast_to(near, (len(ids), len(near)))])
-                    order = np.lexsort((names, -score), axis=1)[:, :k]
-                    best, who = np.take_along_axis(score, order, 1), np.take_along_axis(names, order, 1)
+                for start in range(0, batch.num_rows, TILE[1]):
+                    part = batch.slice(start, TILE[1])
+                    near, x = np.asarray(part.column("id")), unit_rows(part.column("v"))
+                    for a in range(0, len(ids), TILE[0]):
+                        some = slice(a, a + TILE[0])
+                        score = np.round(q[some] @ x.T, 12)
+                        score[ids[some, None] == near[None, :]] = -np.inf
+                        best[some], who[some] = kept(best[some], who[some], score, near)
             at = np.isfinite(best)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[at.ravel()]), pa.array(who[at]), pa.array(best[at])], names=["query_id", "id", "score"])
 
@@ -95,10 +98,29 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, key: str = "chunk_i
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumnRenamed("id", key)
 
 
-def unit_rows(vectors_: list) -> np.ndarray:
-    x = np.array(vectors_, np.float64)
-    if x.ndim != 2:
-        return np.zeros((len(vectors_), 0))
+def kept(best: np.ndarray, who: np.ndarray, score: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k best scores and ids a query after a tile of scores; only what may enter them is sorted, ties to the smaller id."""
+    n, k = best.shape
+    least = best[:, -1]
+    if np.isneginf(least).any() and k < score.shape[1]:
+        least = np.maximum(least, np.partition(np.nan_to_num(score, nan=-np.inf), -k, axis=1)[:, -k])
+    at, j = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+    if not len(at):
+        return best, who
+    row, value, name = np.concatenate([np.repeat(np.arange(n), k), at]), np.concatenate([best.ravel(), score[at, j]]), np.concatenate([who.ravel(), near[j]])
+    order = np.lexsort((name, -value, row))
+    first = np.searchsorted(row[order], np.arange(n))
+    top = order[first[:, None] + np.arange(k)]
+    return value[top], name[top]
+
+
+def unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of length 1 of a column of equally long lists; null components are NaN."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.unique(np.asarray(pc.list_value_length(column)))
+    if len(sizes) > 1:
+        raise ValueError("vectors differ in length")
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), int(sizes[0]) if len(sizes) else 0)
     length = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(length == 0, 1, length)
 
